@@ -32,7 +32,7 @@ def parse_list_literal(text: Column) -> Column:
 
 def parse_delimited(text: Column, sep: str = ",", lower: bool = False) -> Column:
     """Split on a literal separator, trim, drop blanks; null gives an empty array."""
-    parts = F.transform(F.split(text, "\\Q" + sep + "\\E"), F.trim)
+    parts = F.transform(F.split(text, "\\Q" + sep + "\\E"), lambda s: F.trim(s))
     if lower:
         parts = F.transform(parts, F.lower)
     return F.coalesce(F.filter(parts, lambda s: s != ""), empty_strings())
@@ -64,7 +64,7 @@ def clean_skill_list(arr: Column, two_char_rule: bool = True) -> Column:
             ok = ok & ((F.length(s) != 2) | F.upper(s).isin(short_upper))
         return ok
 
-    trimmed = F.transform(arr, F.trim)
+    trimmed = F.transform(arr, lambda s: F.trim(s))
     return dedup_ignoring_case(F.filter(trimmed, keep))
 
 

@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from talentgrid.plans import market_queries  # noqa: F401
+from talentgrid.plans import market_queries, scalar_queries  # noqa: F401
 from talentgrid.plans.registry import QUERIES, SQL  # noqa: F401

@@ -118,3 +118,76 @@ prof AS (SELECT DISTINCT c_custkey AS profile_id, n_name AS target_role, p_brand
       FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
       JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 """
+
+
+def cv_texts(t: Tables) -> DataFrame:
+    """CV-like text per order, built from that row's own values (no grouping)."""
+    seg, reg = F.initcap(F.lower("c_mktsegment")), F.initcap(F.lower("r_name"))
+    k, y = F.col("o_orderkey"), F.year("o_orderdate")
+    text = F.concat_ws(
+        "\n",
+        F.when(k % 5 == 0, "Curriculum Vitae"),
+        F.concat_ws(" ", seg, reg),
+        F.concat(F.lit("Port "), seg, F.lit(", "), reg),
+        F.concat(F.lower("c_mktsegment"), k.cast("string"), F.lit("@mail.example.com | 0812 "),
+                 F.lpad((k % 10000000).cast("string"), 7, "0")),
+        F.when(k % 4 == 1, "SKILLS:").when(k % 4 != 2, "Technical Skills"),
+        F.concat(F.lit("python, sql, "), F.lower(F.substring("o_orderpriority", 3, 100)),
+                 F.lit(", Docker and Node.js; ABC+")),
+        F.when(k % 7 != 3, "Work Experience"),
+        F.concat(seg, F.lit(" Corp - "), F.col("n_name")),
+        F.concat(F.date_format("o_orderdate", "MMM yyyy"), F.lit(" - "),
+                 F.when(k % 3 == 0, "Present").otherwise(
+                     F.concat(F.lit("Dec "), (y + 1).cast("string")))),
+        F.concat(F.lit("Senior "), seg, F.lit(" Engineer")),
+        F.concat(F.lit("- Built systems for "), F.col("n_name"), F.lit(" during "),
+                 (k % 9).cast("string"), F.when(k % 2 == 0, " years").otherwise(" audits")),
+        F.concat(F.lit("Beta "), reg, F.lit(" Ltd - "), F.col("n_name")),
+        F.concat((y - 2).cast("string"), F.lit(" - "), y.cast("string")),
+        F.lit("Data Analyst"),
+        F.lit("Education"),
+        F.concat(reg, F.lit(" University - "), F.col("n_name")),
+        F.concat(F.lit("Bachelor of "), seg, F.lit(", 3.5")),
+        F.concat((y - 8).cast("string"), F.lit(" - "), (y - 4).cast("string")),
+        F.when(k % 6 == 0, F.concat(F.lit("Studying at the "), reg, F.lit(" College"))),
+    )
+    return (
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(k.alias("doc_id"), text.alias("text"), seg.alias("seg"), reg.alias("reg"),
+                F.col("n_name"), F.col("o_orderdate"))
+    )
+
+
+CV_SQL = """WITH cv0 AS (SELECT o_orderkey AS k, year(o_orderdate) AS y, o_orderdate, o_orderpriority, c_mktsegment, n_name,
+   upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS seg, replace(upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)), ' e', ' E') AS reg
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+cv AS (SELECT k AS doc_id, seg, reg, n_name, o_orderdate, concat_ws(chr(10),
+   CASE WHEN k % 5 = 0 THEN 'Curriculum Vitae' END, seg || ' ' || reg, 'Port ' || seg || ', ' || reg,
+   lower(c_mktsegment) || k || '@mail.example.com | 0812 ' || lpad((k % 10000000)::VARCHAR, 7, '0'),
+   CASE WHEN k % 4 = 1 THEN 'SKILLS:' WHEN k % 4 <> 2 THEN 'Technical Skills' END,
+   'python, sql, ' || lower(substr(o_orderpriority, 3)) || ', Docker and Node.js; ABC+',
+   CASE WHEN k % 7 <> 3 THEN 'Work Experience' END, seg || ' Corp - ' || n_name,
+   strftime(o_orderdate, '%b %Y') || ' - ' || CASE WHEN k % 3 = 0 THEN 'Present' ELSE 'Dec ' || (y + 1) END,
+   'Senior ' || seg || ' Engineer',
+   '- Built systems for ' || n_name || ' during ' || (k % 9) || CASE WHEN k % 2 = 0 THEN ' years' ELSE ' audits' END,
+   'Beta ' || reg || ' Ltd - ' || n_name, (y - 2) || ' - ' || y, 'Data Analyst', 'Education',
+   reg || ' University - ' || n_name, 'Bachelor of ' || seg || ', 3.5', (y - 8) || ' - ' || (y - 4),
+   CASE WHEN k % 6 = 0 THEN 'Studying at the ' || reg || ' College' END) AS text FROM cv0)
+"""
+
+
+def document_tokens(t: Tables) -> DataFrame:
+    """Distinct whitespace tokens of all documents with their counts."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    return t.documents.select(words.alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+TOK_SQL = r"""WITH tk AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS token FROM documents) GROUP BY 1)
+"""
+
+
+def sql_list(values) -> str:
+    """Comma-separated SQL string literals."""
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
