@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as V
-from talentgrid.functions.lists import STRINGS, empty_strings
+from talentgrid.functions.lists import STRINGS, bind, empty_strings
 from talentgrid.functions.numeric import clamp
 
 # raw answer fields are read as text, then coerced one by one
-ROLE_FIELDS = (
-    "role_name string, sbert_match_score string, skill_overlap_pct string, category string, "
-    "why_good_fit string, transferable_skills string, skills_to_develop string, skills string, "
-    "missing_skills string, gap_skills string, transition_difficulty string, "
-    "estimated_transition_time string, estimated_transition_months string, "
-    "skill_readiness_pct string, first_step string, market_demand string"
-)
+ROLE_NAMES = [
+    "role_name", "sbert_match_score", "skill_overlap_pct", "category", "why_good_fit",
+    "transferable_skills", "skills_to_develop", "skills", "missing_skills", "gap_skills",
+    "transition_difficulty", "estimated_transition_time", "estimated_transition_months",
+    "skill_readiness_pct", "first_step", "market_demand",
+]
+_ROLES = "array<struct<" + ",".join(f"{n}:string" for n in ROLE_NAMES) + ">>"
 ANSWER_SCHEMA = (
     "thinking_process string, "
     "current_role_assessment struct<target_role:string,readiness_score:string,"
-    "readiness_level:string,verdict:string>, "
-    "alternative_roles array<string>, ai_discovered_roles array<string>, "
-    "strongest_transferable_skills string, suggested_certifications string, universal_advice string"
+    f"readiness_level:string,verdict:string>, alternative_roles {_ROLES}, "
+    f"ai_discovered_roles {_ROLES}, strongest_transferable_skills string, "
+    "suggested_certifications string, universal_advice string"
 )
 
 
@@ -56,8 +56,8 @@ def parse_layer(raw: Column) -> Column:
 
 def strip_hint(c: Column) -> Column:
     """Drop a trailing parenthesised hint; a bare placeholder becomes ''."""
-    s = F.trim(F.regexp_replace(c, V.TRAILING_HINT, ""))
-    return F.when(s.startswith("__FILL__"), "").otherwise(s)
+    bare = F.trim(F.regexp_replace(c, V.TRAILING_HINT, ""))
+    return bind(bare, lambda s: F.when(s.startswith("__FILL__"), "").otherwise(s))
 
 
 def is_placeholder(c: Column) -> Column:
@@ -66,19 +66,26 @@ def is_placeholder(c: Column) -> Column:
 
 def coerce_enum(c: Column, allowed: list[str], default: str) -> Column:
     """First allowed value contained in the lowered text, else by synonym, else the default."""
-    s = F.lower(F.trim(F.regexp_replace(c, V.TRAILING_HINT, "")))
-    has = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(s, w))
-    out = F.when(c.isNull(), default)
-    for value in allowed:
-        out = out.when(has(value), value)
-    if "challenging" in allowed:
-        out = out.when(has("difficult", "hard"), "challenging")
-    middle = "medium" if "medium" in allowed else "moderate" if "moderate" in allowed else None
-    if middle:
-        out = out.when(has("moderate", "average"), middle)
-    if "low" in allowed:
-        out = out.when(has("weak", "slow", "less"), "low")
-    return out.otherwise(default)
+    def pick(s: Column) -> Column:
+        def has(*words: str) -> Column:
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | F.contains(s, F.lit(w))
+            return hit
+
+        out = F.when(s.isNull(), default)
+        for value in allowed:
+            out = out.when(has(value), value)
+        if "challenging" in allowed:
+            out = out.when(has("difficult", "hard"), "challenging")
+        middle = "medium" if "medium" in allowed else "moderate" if "moderate" in allowed else None
+        if middle:
+            out = out.when(has("moderate", "average"), middle)
+        if "low" in allowed:
+            out = out.when(has("weak", "slow", "less"), "low")
+        return out.otherwise(default)
+
+    return bind(F.lower(F.trim(F.regexp_replace(c, V.TRAILING_HINT, ""))), pick)
 
 
 def unit_score(c: Column) -> Column:
@@ -147,34 +154,42 @@ def skill_relevance(json_list: Column, key: str = "skill") -> Column:
     return F.filter(F.transform(items, pair), lambda p: (p["name"] != "") & ~is_placeholder(p["name"]))
 
 
-def discovered_role(raw: Column) -> Column:
-    """One suggested role from JSON text to its normalised struct."""
-    r = F.from_json(raw, ROLE_FIELDS)
-    develop = skill_names(F.coalesce(
-        F.nullif(r["skills_to_develop"], F.lit("[]")), r["skills"], r["missing_skills"]))
-    transferable = skill_names(r["transferable_skills"])
-    total = F.size(transferable) + F.size(develop)
-    return F.struct(
-        strip_hint(F.coalesce(r["role_name"], F.lit(""))).alias("role_name"),
-        coerce_enum(r["category"], V.CATEGORY_VALUES, "adjacent").alias("category"),
-        strip_hint(F.coalesce(r["why_good_fit"], F.lit(""))).alias("why_good_fit"),
-        transferable.alias("transferable_skills"), develop.alias("skills_to_develop"),
-        coerce_enum(r["transition_difficulty"], V.DIFFICULTY_VALUES, "moderate")
-        .alias("transition_difficulty"),
-        transition_months(r["estimated_transition_months"], r["estimated_transition_time"])
-        .alias("estimated_transition_months"),
-        F.when(total > 0, F.bround(F.size(transferable) / total * 100, 1)).otherwise(F.lit(0.0))
-        .alias("skill_readiness_pct"),
-        F.coalesce(r["first_step"], F.lit("Learn the essential skills for this role."))
-        .alias("first_step"),
-        coerce_enum(r["market_demand"], V.DEMAND_VALUES, "medium").alias("market_demand"),
-    )
+def discovered_roles(roles: Column) -> Column:
+    """Suggested roles, fields coerced; readiness is recomputed from the two skill lists.
 
+    Two chained transforms: the lists are parsed once, then used by several fields.
+    """
+    def with_lists(r: Column) -> Column:
+        return F.struct(
+            r.alias("r"), skill_names(r["transferable_skills"]).alias("own"),
+            skill_names(F.coalesce(F.nullif(r["skills_to_develop"], F.lit("[]")), r["skills"],
+                                   r["missing_skills"])).alias("dev"),
+        )
 
-def alternative_role(raw: Column) -> Column:
-    """One data-backed role from JSON text to its normalised struct."""
-    r = F.from_json(raw, ROLE_FIELDS)
-    return F.struct(
+    def final(x: Column) -> Column:
+        r, total = x["r"], F.size(x["own"]) + F.size(x["dev"])
+        pct = F.bround(F.size(x["own"]) / total * 100, 1)
+        return F.struct(
+            strip_hint(F.coalesce(r["role_name"], F.lit(""))).alias("role_name"),
+            coerce_enum(r["category"], V.CATEGORY_VALUES, "adjacent").alias("category"),
+            strip_hint(F.coalesce(r["why_good_fit"], F.lit(""))).alias("why_good_fit"),
+            x["own"].alias("transferable_skills"), x["dev"].alias("skills_to_develop"),
+            coerce_enum(r["transition_difficulty"], V.DIFFICULTY_VALUES, "moderate")
+            .alias("transition_difficulty"),
+            transition_months(r["estimated_transition_months"], r["estimated_transition_time"])
+            .alias("estimated_transition_months"),
+            F.when(total > 0, pct).otherwise(F.lit(0.0)).alias("skill_readiness_pct"),
+            F.coalesce(r["first_step"], F.lit("Learn the essential skills for this role."))
+            .alias("first_step"),
+            coerce_enum(r["market_demand"], V.DEMAND_VALUES, "medium").alias("market_demand"),
+        )
+
+    return F.transform(F.transform(roles, with_lists), final)
+
+
+def alternative_roles(roles: Column) -> Column:
+    """Data-backed roles, fields coerced."""
+    return F.transform(roles, lambda r: F.struct(
         F.coalesce(r["role_name"], F.lit("")).alias("role_name"),
         unit_score(r["sbert_match_score"]).alias("match_score"),
         percent(r["skill_overlap_pct"]).alias("skill_overlap_pct"),
@@ -185,30 +200,29 @@ def alternative_role(raw: Column) -> Column:
         .alias("transition_difficulty"),
         transition_time(r["estimated_transition_time"]).alias("estimated_transition_time"),
         F.coalesce(r["first_step"], F.lit("")).alias("first_step"),
-    )
+    ))
 
 
-def normalize_answer(raw: Column) -> Column:
-    """Whole answer text to the normalised pivot struct (null when it cannot be parsed)."""
-    a = parse_tolerant(raw, ANSWER_SCHEMA)
-    score_path = "$.current_role_assessment.readiness_score"
-    quoted = F.coalesce(raw, F.lit("")).rlike(r'"readiness_score"\s*:\s*"')
-    score = F.coalesce(a["current_role_assessment"]["readiness_score"],
-                       F.get_json_object(raw, score_path))
-    return F.when(a.isNotNull(), F.struct(
+def normalize_answers(df: DataFrame, raw: str, out: str = "answer") -> DataFrame:
+    """Parse the answer text once, then coerce every field; unparsable answers give null."""
+    quoted = F.coalesce(F.col(raw), F.lit("")).rlike(r'"readiness_score"\s*:\s*"')
+    a, now = F.col("_a"), F.col("_a.current_role_assessment")
+    answer = F.struct(
         F.coalesce(a["thinking_process"], F.lit("")).alias("thinking_process"),
         F.struct(
-            F.coalesce(a["current_role_assessment"]["target_role"], F.lit("")).alias("target_role"),
-            readiness_score(score, quoted).alias("readiness_score"),
-            coerce_enum(a["current_role_assessment"]["readiness_level"], V.READINESS_VALUES,
-                        "moderate").alias("readiness_level"),
-            F.coalesce(a["current_role_assessment"]["verdict"], F.lit("")).alias("verdict"),
+            F.coalesce(now["target_role"], F.lit("")).alias("target_role"),
+            readiness_score(now["readiness_score"], quoted).alias("readiness_score"),
+            coerce_enum(now["readiness_level"], V.READINESS_VALUES, "moderate")
+            .alias("readiness_level"),
+            F.coalesce(now["verdict"], F.lit("")).alias("verdict"),
         ).alias("current_role_assessment"),
-        F.transform(F.coalesce(a["alternative_roles"], empty_strings()), alternative_role)
+        F.coalesce(alternative_roles(a["alternative_roles"]), F.array())
         .alias("alternative_roles"),
-        F.transform(F.coalesce(a["ai_discovered_roles"], empty_strings()), discovered_role)
+        F.coalesce(discovered_roles(a["ai_discovered_roles"]), F.array())
         .alias("ai_discovered_roles"),
         skill_names(a["strongest_transferable_skills"]).alias("strongest_transferable_skills"),
         skill_relevance(a["suggested_certifications"], "name").alias("suggested_certifications"),
         F.coalesce(a["universal_advice"], F.lit("")).alias("universal_advice"),
-    ))
+    )
+    parsed = df.withColumn("_a", parse_tolerant(F.col(raw), ANSWER_SCHEMA))
+    return parsed.withColumn(out, F.when(a.isNotNull(), answer)).drop("_a")

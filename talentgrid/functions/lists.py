@@ -10,6 +10,14 @@ from talentgrid import fixed_values as V
 STRINGS = "array<string>"
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a variable.
+
+    Expressions captured by a lambda are otherwise re-evaluated for every array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strings(values) -> Column:
     """Literal string array."""
     return F.array(*[F.lit(v) for v in values]).cast(STRINGS)
@@ -40,8 +48,10 @@ def parse_delimited(text: Column, sep: str = ",", lower: bool = False) -> Column
 
 def dedup_ignoring_case(arr: Column) -> Column:
     """Keep the first spelling of each case-insensitive value, in order."""
-    keys = F.transform(arr, F.lower)
-    return F.filter(arr, lambda s, i: F.array_position(keys, F.lower(s)) == i + 1)
+    return bind(arr, lambda a: bind(
+        F.transform(a, F.lower),
+        lambda keys: F.filter(a, lambda s, i: F.array_position(keys, F.lower(s)) == i + 1),
+    ))
 
 
 def flatten_lower(arr: Column) -> Column:

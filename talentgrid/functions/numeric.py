@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as V
-from talentgrid.functions.lists import string_map
+from talentgrid.functions.lists import bind, string_map
 
 
 def saturate(x: Column, alpha: float = 2.0) -> Column:
@@ -94,8 +94,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Vector divided by its length; the 1e-9 guard maps a zero vector to zeros."""
-    n = norm(a) + 1e-9
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return bind(norm(a) + 1e-9, lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as V
-from talentgrid.functions.lists import string_map, strings
+from talentgrid.functions.lists import bind, dedup_ignoring_case, string_map, strings
 
 # The reference's word boundaries, \w and \s are Unicode-aware; (?U) makes Java's so on every JDK.
 UNICODE = "(?U)"
@@ -27,7 +27,7 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 def contains_any(c: Column, words) -> Column:
     """True when the text contains one of a short fixed list of substrings."""
-    return F.exists(strings(words), lambda w: F.contains(c, w))
+    return bind(c, lambda v: F.exists(strings(words), lambda w: F.contains(v, w)))
 
 
 def lines(text: Column) -> Column:
@@ -211,20 +211,22 @@ def experience_years(text: Column, reference_year: int) -> Column:
         F.transform(all_matches(text, V.EXPLICIT_YEARS, 1), lambda v: v.cast("double")),
         lambda v: v < 50,
     )
+
+    def spanned(years: Column) -> Column:
+        delta = F.lit(reference_year) - F.array_min(years)
+        good = (F.size(years) >= 2) & (delta > 0) & (delta <= 40)
+        return F.when(good, F.bround(delta * 0.8, 1)).otherwise(F.lit(0.0))
+
     years = F.transform(all_matches(text, V.YEAR_2000S, 1), lambda v: v.cast("int"))
-    delta = F.lit(reference_year) - F.array_min(years)
-    spanned = F.when(
-        (F.size(years) >= 2) & (delta > 0) & (delta <= 40), F.bround(delta * 0.8, 1)
-    ).otherwise(F.lit(0.0))
-    return F.when(F.size(explicit) > 0, F.array_max(explicit)).otherwise(spanned)
+    return F.coalesce(F.array_max(explicit), bind(years, spanned))
 
 
 # --- skill text ------------------------------------------------------------------------
 
 def known_skills_in(text: Column, skills=None) -> Column:
     """Fixed skills that occur as substrings of the lowercased text, in list order."""
-    low = F.lower(text)
-    return F.filter(strings(skills or V.KNOWN_SKILLS), lambda s: F.contains(low, s))
+    known = strings(skills or V.KNOWN_SKILLS)
+    return bind(F.lower(text), lambda low: F.filter(known, lambda s: F.contains(low, s)))
 
 
 def normalize_surface(c: Column, rules: dict[str, str] | None = None) -> Column:
@@ -232,10 +234,14 @@ def normalize_surface(c: Column, rules: dict[str, str] | None = None) -> Column:
     s = F.regexp_replace(F.trim(c), r"^[^a-zA-Z0-9#+.\-]+", "")
     s = F.regexp_replace(s, r"[^a-zA-Z0-9#+.\-/]+$", "")
     s = F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))
-    degree = s.rlike(r"(?i)^[bmd][a-z.]?\.(sc|s|eng|tech|a|com|ed|arch|pharm)\.?$")
-    dropped = (F.length(s) < 2) | s.rlike(r"^\d+$") | s.isin(V.SURFACE_BLOCKLIST) | degree
     m = string_map(V.SYNONYMS if rules is None else rules)
-    return F.when(dropped, "").otherwise(F.coalesce(F.try_element_at(m, s), s))
+
+    def finish(s: Column) -> Column:
+        degree = s.rlike(r"(?i)^[bmd][a-z.]?\.(sc|s|eng|tech|a|com|ed|arch|pharm)\.?$")
+        dropped = (F.length(s) < 2) | s.rlike(r"^\d+$") | s.isin(V.SURFACE_BLOCKLIST) | degree
+        return F.when(dropped, "").otherwise(F.coalesce(F.try_element_at(m, s), s))
+
+    return bind(s, finish)
 
 
 def split_surface(c: Column) -> Column:
@@ -276,60 +282,71 @@ def sanitize_skills(arr: Column) -> Column:
         & ~rlike(s, V.GRADE_WORD) & ~rlike(s, V.DATE_WORD)
         & ~F.lower(s).isin(V.GRADE_WORDS),
     )
-    keys = F.transform(kept, F.lower)
-    return F.filter(kept, lambda s, i: F.array_position(keys, F.lower(s)) == i + 1)
+    return dedup_ignoring_case(kept)
 
 
 def expand_fragment(fragment: Column, text: Column, max_extra: int = 15) -> Column:
     """Grow the first occurrence of a fragment to whole words, unless it grows too much."""
-    frag = F.trim(fragment)
-    exact = F.position(frag, text)
-    pos = F.when(exact > 0, exact).otherwise(F.position(F.lower(frag), F.lower(text)))
-    before = F.regexp_extract(F.substring(text, F.lit(1), pos - 1), r"([\p{L}\p{N}]*)$", 1)
-    after = F.regexp_extract(
-        F.substring(text, pos + F.length(frag), F.length(text)), r"^([\p{L}\p{N}]*)", 1
-    )
-    body = F.substring(text, pos, F.length(frag))
-    grown = F.trim(F.concat(before, body, after))
-    bad = (frag == "") | (pos == 0) | (F.length(grown) > F.length(frag) + max_extra)
-    return F.when(bad, frag).otherwise(grown)
+    def grow(frag: Column, pos: Column) -> Column:
+        before = F.regexp_extract(F.substring(text, F.lit(1), pos - 1), r"([\p{L}\p{N}]*)$", 1)
+        after = F.regexp_extract(
+            F.substring(text, pos + F.length(frag), F.length(text)), r"^([\p{L}\p{N}]*)", 1
+        )
+        grown = F.trim(F.concat(before, F.substring(text, pos, F.length(frag)), after))
+        return bind(grown, lambda g: F.when(
+            (frag == "") | (pos == 0) | (F.length(g) > F.length(frag) + max_extra), frag
+        ).otherwise(g))
+
+    def locate(frag: Column) -> Column:
+        exact = F.position(frag, text)
+        return F.when(exact > 0, exact).otherwise(F.position(F.lower(frag), F.lower(text)))
+
+    return bind(F.trim(fragment), lambda f: bind(locate(f), lambda pos: grow(f, pos)))
 
 
 # --- header lines -------------------------------------------------------------------------
 
 def is_name_candidate(line: Column) -> Column:
     """2–5 alphabetic words, nearly all capitalised, no contact data, dates or section words."""
-    s = strip_any(squeeze(line), r" :,\-")
-    words = F.split(s, " ")
-    caps = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    n = F.size(words)
-    return (
-        (s != "") & ~rlike(s, V.EMAIL) & ~s.rlike(V.PHONE) & ~rlike(s, V.DATE_WORD)
-        & ~contains_any(F.lower(s), V.NAME_STOP_WORDS) & (n >= 2) & (n <= 5)
-        & ~F.exists(words, lambda w: ~w.rlike(r"^[A-Za-z][A-Za-z.'-]*$"))
-        & (caps >= F.greatest(F.lit(2), n - 1))
-    )
+    def check(s: Column) -> Column:
+        words = F.split(s, " ")
+        caps = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        n = F.size(words)
+        return (
+            (s != "") & (n >= 2) & (n <= 5)
+            & ~F.exists(words, lambda w: ~w.rlike(r"^[A-Za-z][A-Za-z.'-]*$"))
+            & (caps >= F.greatest(F.lit(2), n - 1))
+            & ~contains_any(F.lower(s), V.NAME_STOP_WORDS)
+            & ~rlike(s, V.EMAIL) & ~s.rlike(V.PHONE) & ~rlike(s, V.DATE_WORD)
+        )
+
+    return bind(strip_any(squeeze(line), r" :,\-"), check)
 
 
 def header_line_class(line: Column, generic: Column | bool = True) -> Column:
     """Section a header line opens: personal, skills, work, education, misc; null for body lines."""
-    s = strip_any(F.lower(squeeze(line)), r" :.\-")
-    n = F.size(F.split(s, " "))
-    work_words = rlike(s, r"\b(work|professional|employment|career)\b") & rlike(
-        s, r"\b(experience|experiences|history)\b"
-    )
-    edu_words = rlike(s, r"\b(education|academic|qualification|degree|training|school|university)\b")
-    misc_words = rlike(s, r"\b(projects?|achievements?|awards?|honors?|certifications?)\b")
     generic = F.lit(generic) if isinstance(generic, bool) else generic
-    capital = generic & squeeze(line).rlike(V.CAPITAL_HEADER) & (n <= 6)
-    return F.when(
-        s != "",
-        F.when(s.isin(V.PERSONAL_HEADERS), "personal")
-        .when(s.isin(V.SKILLS_HEADERS), "skills")
-        .when(s.isin(V.WORK_HEADERS) | (work_words & (n <= 5)), "work")
-        .when(s.isin(V.EDUCATION_HEADERS) | (edu_words & (n <= 5)), "education")
-        .when(s.isin(V.NEUTRAL_HEADERS) | misc_words | capital, "misc"),
-    )
+
+    def classify(s: Column) -> Column:
+        n = F.size(F.split(s, " "))
+        work_words = rlike(s, r"\b(work|professional|employment|career)\b") & rlike(
+            s, r"\b(experience|experiences|history)\b"
+        )
+        edu_words = rlike(
+            s, r"\b(education|academic|qualification|degree|training|school|university)\b"
+        )
+        misc_words = rlike(s, r"\b(projects?|achievements?|awards?|honors?|certifications?)\b")
+        capital = generic & squeeze(line).rlike(V.CAPITAL_HEADER) & (n <= 6)
+        return F.when(
+            s != "",
+            F.when(s.isin(V.PERSONAL_HEADERS), "personal")
+            .when(s.isin(V.SKILLS_HEADERS), "skills")
+            .when(s.isin(V.WORK_HEADERS) | ((n <= 5) & work_words), "work")
+            .when(s.isin(V.EDUCATION_HEADERS) | ((n <= 5) & edu_words), "education")
+            .when(s.isin(V.NEUTRAL_HEADERS) | misc_words | capital, "misc"),
+        )
+
+    return bind(strip_any(F.lower(squeeze(line)), r" :.\-"), classify)
 
 
 def looks_like_work(line: Column) -> Column:
@@ -351,20 +368,21 @@ def looks_like_summary(line: Column) -> Column:
 def language_scores(text: Column, stop_words: dict[str, list[str]]) -> Column:
     """Per language: how many distinct stop words occur; struct array sorted best first."""
     toks = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-    return F.array(*[
+    return bind(toks, lambda words_of_text: F.array(*[
         F.struct(
-            F.size(F.array_intersect(toks, strings(words))).alias("score"), F.lit(code).alias("lang")
+            F.size(F.array_intersect(words_of_text, strings(words))).alias("score"),
+            F.lit(code).alias("lang"),
         )
         for code, words in stop_words.items()
-    ])
+    ]))
 
 
 def detect_language(text: Column, stop_words: dict[str, list[str]]) -> Column:
     """Language with the most distinct stop words (ties: later code); blank text is ``unknown``."""
-    best = F.array_max(language_scores(text, stop_words))
-    return (
-        F.when(text.isNull() | (F.trim(text) == ""), "unknown")
-        .when(best["score"] > 0, best["lang"]).otherwise("unknown")
+    best = bind(
+        F.array_max(language_scores(text, stop_words)),
+        lambda b: F.when(b["score"] > 0, b["lang"]).otherwise("unknown"),
     )
+    return F.when(text.isNull() | (F.trim(text) == ""), "unknown").otherwise(best)
 
 

@@ -97,3 +97,37 @@ def dense_index(df: DataFrame, *order: str, index: str = "idx") -> DataFrame:
         .withColumn(index, F.col("_i") + F.col("_before"))
         .drop("_p", "_i", "_before")
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy per-row work when the input has fewer splits than cores.
+
+    Small files come in one split; large tables already have many and stay as they are.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast a join side only after counting that it is small; otherwise leave it to the
+    shuffled join that AQE plans (and splits, when skewed)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def in_blocks(df: DataFrame, key: str, *cols: str, block_rows: int = 512) -> tuple[DataFrame, int]:
+    """A lookup table as few rows of arrays: (block, rows[]), each about ``block_rows`` entries."""
+    n_blocks = max(1, -(-df.count() // block_rows))
+    block = F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
+    blocks = df.groupBy(block.alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct(*cols))).alias("rows")
+    )
+    return blocks, n_blocks
+
+
+def with_blocks(df: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """Give every row the lookup arrays: one row per block, so a comparison with the whole lookup
+    table is an array expression and only its results leave the row."""
+    if n_blocks == 1:
+        return df.withColumn("rows", blocks.select("rows").scalar())
+    fan = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    return fan.join(small_side(blocks, 64), "block").drop("block")

@@ -496,11 +496,13 @@ def _(t):
    CASE WHEN k % 4 = 0 THEN 'challenging' ELSE 'easy' END AS difficulty, CAST(greatest(1, least(48, k % 60)) AS INTEGER) AS months,
    'sql|' || seg AS transferable, 'python' AS develop, 66.7::DOUBLE AS readiness_pct FROM a WHERE k % 7 <> 0""")
 def _(t):
-    n = answer_text(t).select("id", answers.normalize_answer(F.col("raw")).alias("a")).where("a IS NOT NULL")
-    role = F.col("a.ai_discovered_roles")[0]
+    readable = answer_text(t).where(answers.parse_layer(F.col("raw")) != "failed")
+    n = answers.normalize_answers(readable, "raw", "a").select(
+        "id", "a.current_role_assessment", F.explode("a.ai_discovered_roles").alias("role"))
+    role = F.col("role")
     return n.select(
-        "id", R(F.col("a.current_role_assessment.readiness_score")).alias("score"),
-        F.col("a.current_role_assessment.readiness_level").alias("level"), role["role_name"].alias("role_name"),
+        "id", R(F.col("current_role_assessment.readiness_score")).alias("score"),
+        F.col("current_role_assessment.readiness_level").alias("level"), role["role_name"].alias("role_name"),
         role["market_demand"].alias("demand"), role["transition_difficulty"].alias("difficulty"),
         role["estimated_transition_months"].alias("months"),
         F.array_join(role["transferable_skills"], "|").alias("transferable"),
