@@ -1,4 +1,10 @@
 """Imports every query module so that the registry is complete."""
 
-from talentgrid.plans import market_queries, scalar_queries, vector_queries  # noqa: F401
+from talentgrid.plans import (  # noqa: F401
+    market_queries,
+    scalar_queries,
+    span_queries,
+    text_queries,
+    vector_queries,
+)
 from talentgrid.plans.registry import QUERIES, SQL  # noqa: F401
