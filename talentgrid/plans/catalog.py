@@ -1,7 +1,9 @@
 """Imports every query module so that the registry is complete."""
 
 from talentgrid.plans import (  # noqa: F401
+    eval_queries,
     market_queries,
+    profile_queries,
     scalar_queries,
     span_queries,
     text_queries,
