@@ -5,6 +5,7 @@ from talentgrid.plans import (  # noqa: F401
     market_queries,
     profile_queries,
     scalar_queries,
+    source_queries,
     span_queries,
     text_queries,
     vector_queries,

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talentgrid.operators.tables import spread
+
 
 class Tables:
     """Lazy access to the input tables of one folder and the views derived from them."""
@@ -152,7 +154,7 @@ def cv_texts(t: Tables) -> DataFrame:
         F.when(k % 6 == 0, F.concat(F.lit("Studying at the "), reg, F.lit(" College"))),
     )
     return (
-        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        spread(t.orders).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(k.alias("doc_id"), text.alias("text"), seg.alias("seg"), reg.alias("reg"),
@@ -181,7 +183,7 @@ cv AS (SELECT k AS doc_id, seg, reg, n_name, o_orderdate, concat_ws(chr(10),
 def document_tokens(t: Tables) -> DataFrame:
     """Distinct whitespace tokens of all documents with their counts."""
     words = F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
-    return t.documents.select(words.alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return spread(t.documents).select(words.alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 TOK_SQL = r"""WITH tk AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS token FROM documents) GROUP BY 1)
