@@ -63,7 +63,7 @@ def dictionary_csv(spark: SparkSession, path: str, columns=("Example", "Commodit
     """Distinct trimmed lowercase names from the dictionary columns that exist."""
     raw = spark.read.option("header", True).csv(path)
     have = [F.col(f"`{c}`") for c in columns if c in raw.columns]
-    names = F.lower(F.trim(F.explode(F.array(*have))))
+    names = F.explode(F.transform(F.array(*have), lambda s: F.lower(F.trim(s))))
     return raw.select(names.alias("skill")).where("skill IS NOT NULL AND skill <> ''").distinct()
 
 
