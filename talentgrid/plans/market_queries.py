@@ -69,12 +69,12 @@ def _(t):
     return M.missing_rate(with_flags(t))
 
 
-@query("agg_5_competition", P_SQL + """SELECT role, round(avg(applicants), 4) AS mean_applicants,
-  round(median(applicants), 4) AS median_applicants, count(*) AS jobs FROM jr GROUP BY 1""")
+@query("agg_5_competition", P_SQL + """SELECT role, round(avg(applicants), 6) AS mean_applicants,
+  round(median(applicants), 6) AS median_applicants, count(*) AS jobs FROM jr GROUP BY 1""")
 def _(t):
     return M.competition(t.postings).select(
-        "role", R("mean_applicants", 4).alias("mean_applicants"),
-        R("median_applicants", 4).alias("median_applicants"), "jobs")
+        "role", R("mean_applicants").alias("mean_applicants"),
+        R("median_applicants").alias("median_applicants"), "jobs")
 
 
 @query("agg_6_remote_rate", """WITH b AS (SELECT p_type AS role, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END AS rem
@@ -228,11 +228,11 @@ def _(t):
 @query("agg_20_role_card", FLAG_SQL + """, b AS (SELECT role, count(*) AS jobs, avg(applicants) AS ma, 100.0 * sum(CASE WHEN remote='1.0' THEN 1 ELSE 0 END) / count(*) AS rp FROM fl GROUP BY 1),
   rs AS (SELECT role, skill, count(*) AS n FROM p GROUP BY 1, 2), l AS (SELECT role, sum(n) AS links FROM rs GROUP BY 1),
   q AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, skill) AS rank FROM rs QUALIFY rank <= 5)
-  SELECT role, jobs, round(ma, 4) AS mean_applicants, round(rp, 6) AS remote_pct, round(links / jobs, 6) AS mean_skills,
+  SELECT role, jobs, round(ma, 6) AS mean_applicants, round(rp, 6) AS remote_pct, round(links / jobs, 6) AS mean_skills,
          CAST(rank AS INTEGER) AS rank, skill, round(n / jobs * 100, 6) AS skill_pct FROM b JOIN l USING (role) JOIN q USING (role)""")
 def _(t):
     card = M.role_card(with_flags(t), t.posting_skills)
-    return card.select("role", "jobs", R("mean_applicants", 4).alias("mean_applicants"),
+    return card.select("role", "jobs", R("mean_applicants").alias("mean_applicants"),
                        R("remote_pct").alias("remote_pct"), R("mean_skills").alias("mean_skills"),
                        "rank", "skill", R("skill_pct").alias("skill_pct"))
 
