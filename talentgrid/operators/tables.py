@@ -114,6 +114,13 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once what several branches of a plan read: a reliable checkpoint in the shared
+    folder, which survives lost executors."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def in_blocks(df: DataFrame, key: str, *cols: str, block_rows: int = 512) -> tuple[DataFrame, int]:
     """A lookup table as few rows of arrays: (block, rows[]), each about ``block_rows`` entries."""
     n_blocks = max(1, -(-df.count() // block_rows))
