@@ -9,7 +9,7 @@ from tools.check import TABLES, rows_of
 SAMPLE = [
     "agg_5_competition", "agg_8_collapse_rare", "agg_16_tfidf", "agg_28_skill_correlation",
     "agg_37_vocabulary_index", "agg_41_quartiles", "cls_1_role_labels", "cls_2_dictionary_skills",
-    "cls_11_readiness", "flt_7_min_support", "flt_11_valid_skills", "fun_3_clean_skill_list",
+    "cls_11_readiness", "flt_8_postings_with_skills", "flt_11_valid_skills", "fun_3_clean_skill_list",
     "fun_8_spans_to_tags", "fun_20_normalized_answers", "his_1_current_state", "jon_6_threshold_links",
     "jon_7_fuzzy_native", "prf_1_sections", "prf_4_experience_records", "rnk_8_decode_spans",
     "rnk_9_token_windows", "smp_1_stratified_split", "src_2_courses_csv", "src_5_annotated_documents",
