@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talentgrid import fixed_values as V
 from talentgrid.functions.lists import bind, dedup_ignoring_case, string_map, strings
 
-# The reference's word boundaries, \w and \s are Unicode-aware; (?U) makes Java's so on every JDK.
+# Word boundaries, \w and \s are meant Unicode-aware; (?U) makes Java's so on every JDK.
 UNICODE = "(?U)"
 
 

@@ -591,11 +591,11 @@ def _(t):
 
 
 @query("fun_23_prompt_records", """WITH g AS (SELECT conv_id, turn, role, text FROM conversations)
-  SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN 'not available' ELSE upper(role) || ' @ ' || trim(substr(text, 1, 40)) END AS work,
+  SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN 'not available' ELSE upper(role) || ' @ ' || trim(text) END AS work,
    to_json({role_name: role, overlap_pct: 12.5, gap_skills: [upper(role), role]}) AS role_json FROM g""")
 def _(t):
     from talentgrid.operators.profile import prompt_role_json, work_line
 
-    jobs = F.array(F.struct(F.substring("text", 1, 40).alias("company"), F.upper("role").alias("designation")))
+    jobs = F.array(F.struct(F.col("text").alias("company"), F.upper("role").alias("designation")))
     js = prompt_role_json(F.col("role"), F.lit(12.5), F.array(F.upper("role"), F.col("role"), F.lit("a"), F.lit("b")), 2)
     return t.conversations.select("conv_id", "turn", work_line(jobs).alias("work"), js.alias("role_json"))
