@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentgrid.llm.exact import exact_groups
+from talentgrid.llm.packing import pack
+from talentgrid.llm.token_files import read_tokens, write_tokens
+from talentgrid.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +35,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _ids_crc32(batches):
+    """``tokens`` replaced by ``ids_crc32``, of the ids as little-endian unsigned 32-bit integers."""
+    for b in batches:
+        lists = b.column("tokens")
+        ends, ids = lists.offsets.to_numpy(), np.asarray(lists.values).astype("<u4")
+        sums = [zlib.crc32(ids[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())],
+            ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path).mapInArrow(
+        _ids_crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 @query("op7_exact_dedup", r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
            FROM documents),
@@ -36,3 +62,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2("text", 256)})
     return groups.withColumnRenamed("id", "doc_id")
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumnRenamed("id", "doc_id")
