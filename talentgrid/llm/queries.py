@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentgrid.llm.exact import exact_groups
+from talentgrid.llm.html import extract
 from talentgrid.llm.packing import pack
 from talentgrid.llm.token_files import read_tokens, write_tokens
+from talentgrid.llm.warc import payload_digest, read_warc, with_revisits, write_warc
 from talentgrid.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_html_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def _ids_crc32(batches):
     """``tokens`` replaced by ``ids_crc32``, of the ids as little-endian unsigned 32-bit integers."""
     for b in batches:
@@ -64,6 +71,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("id", "doc_id")
 
 
+def _digests(batches):
+    """The digest of what was read for responses, that of the header for revisits."""
+    for b in batches:
+        rows = b.to_pylist()
+        read = [(len(r["payload"]), payload_digest(r["payload"])) if r["record_type"] == "response"
+                else (r["payload_bytes"], r["payload_digest"]) for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("record_key"), pa.array([x[0] for x in read], pa.int64()),
+             pa.array([x[1] for x in read], pa.string()), b.column("record_type"), b.column("refers_to_key")],
+            ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+@query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_warc(with_revisits(table(spark, sf_dir, "pages")), path)
+    return read_warc(spark, path).mapInArrow(
+        _digests, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
