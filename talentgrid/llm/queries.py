@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from talentgrid.llm.exact import exact_groups
 from talentgrid.llm.html import extract
 from talentgrid.llm.packing import pack
+from talentgrid.llm.quality import held_out, score, train
 from talentgrid.llm.token_files import read_tokens, write_tokens
 from talentgrid.llm.warc import payload_digest, read_warc, with_revisits, write_warc
 from talentgrid.session import new_path
@@ -42,6 +43,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _ids_crc32(batches):
     """``tokens`` replaced by ``ids_crc32``, of the ids as little-endian unsigned 32-bit integers."""
     for b in batches:
