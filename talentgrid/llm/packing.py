@@ -23,7 +23,7 @@ from talentgrid.llm.shared import picked, settled
 
 SEQUENCE = 4096
 OPEN_WINDOWS = 64
-MERGED_WINDOWS = 4096  #: leftover windows that one merging task takes: 64 MB of ids
+MERGED_WINDOWS = 512  #: leftover windows that one merging task takes: 8 MB of ids
 _FIELDS = [("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
            ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 PIECES = ("id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -15,6 +15,8 @@ from talentgrid.llm.exact import exact_groups
 from talentgrid.llm.html import extract
 from talentgrid.llm.packing import pack
 from talentgrid.llm.quality import held_out, score, train
+from talentgrid.llm.simhash import near_groups
+from talentgrid.llm.tiling import contaminations
 from talentgrid.llm.token_files import read_tokens, write_tokens
 from talentgrid.llm.warc import payload_digest, read_warc, with_revisits, write_warc
 from talentgrid.session import new_path
@@ -43,6 +45,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+@query("op2_simhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                         "component_id")
+
+
 @query("op3_quality")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +60,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op5_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def _ids_crc32(batches):
     """``tokens`` replaced by ``ids_crc32``, of the ids as little-endian unsigned 32-bit integers."""
     for b in batches:

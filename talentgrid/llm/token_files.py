@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talentgrid.llm.encoding import encoder
-from talentgrid.llm.shared import picked
+from talentgrid.llm.shared import cut, picked
 
 SCHEMA = "id long, shard int, start_in_shard long, n_tokens long, tokens array<int>"
+MOST_BROADCAST = 1_000_000  #: shards whose totals, 24 bytes each, are broadcast; more are joined by a shuffle
 BATCH_TOKENS = 1_000_000  #: ids that one record batch holds before it is passed on
 _TOKENS = "tokens.list.element"
 
@@ -96,7 +97,9 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
     ``n_tokens``; pushed down to row groups and pages). Selecting no ``tokens`` reads none.
     """
     files = spark.read.schema(SCHEMA).parquet(path)
-    starts = _starts(files)
+    starts = cut(_starts(files))
+    if starts.count() <= MOST_BROADCAST:
+        starts = F.broadcast(starts)
     rows = files if where is None else files.where(where)
     return rows.join(starts, "shard").select(
         "id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "tokens"
