@@ -7,7 +7,7 @@
 
 No text is shuffled to find the groups: exchanges carry lengths and hashes. Counting is combined before
 each shuffle, so a length or a text of a third of all rows is no hot key. Marks are bits of a bitmap of
-``SCREEN_BITS / 8`` bytes at any input size, the only broadcast; marks that fall together only cause more
+fixed size at any input size, the only broadcast; marks that fall together only cause more
 counting and full hashes, never other results.
 """
 
@@ -16,52 +16,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.llm.shared import blanks_joined, cut
+from talentgrid.llm.shared import blanks_joined, cut, marks, with_marks
 
 PREFIX_CHARS = 256
-SCREEN_BITS = 1 << 25  #: 4 MB
 
 
 def _keys(text: Column) -> tuple[Column, Column]:
     return F.length(text), F.xxhash64(F.substring(text, 1, PREFIX_CHARS))
 
 
-def _place(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(SCREEN_BITS))
-
-
-def _marks(keys: DataFrame) -> DataFrame:
-    """Bitmap of the places of all rows of ``keys``: (bucket, bits)."""
-    place = _place(*keys.columns)
-    return keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
-    )
-
-
-def _with_marks(rows: DataFrame, marks: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` and ``marked``: whether the bitmap has a mark at the place of ``keys``."""
-    rows = rows.withColumn("place", _place(*keys))
-    rows = rows.withColumn("bucket", F.bitmap_bucket_number("place"))
-    rows = rows.withColumn("spot", F.bitmap_bit_position("place"))
-    marked = F.expr("shiftright(cast(conv(hex(substring(bits, cast(spot div 8 as int) + 1, 1)), 16, 10)"
-                    " as int), cast(spot % 8 as int)) & 1 = 1")
-    return rows.join(F.broadcast(marks), "bucket", "left").withColumn(
-        "marked", F.coalesce(marked, F.lit(False))).drop("bucket", "bits", "spot", "place")
-
-
 def _screen(texts: DataFrame) -> DataFrame:
     """Marks of the (length, prefix hash) pairs that occur more than once."""
     length, prefix = _keys(F.col("text"))
     keys = cut(texts.select(length.alias("n"), prefix.alias("p")))
     lengths = keys.groupBy("n").count().where("count > 1").select("n")
-    met = _with_marks(keys, _marks(lengths), "n").where("marked")
-    return _marks(met.groupBy("n", "p").count().where("count > 1").select("n", "p"))
+    met = with_marks(keys, marks(lengths), "n").where("marked")
+    return marks(met.groupBy("n", "p").count().where("count > 1").select("n", "p"))
 
 
 def _hashed(rows: DataFrame, screen: DataFrame) -> DataFrame:
     """``rows`` (with ``text``) and ``n``, ``sha``: the SHA-256 where the screen has a mark, else null."""
     length, prefix = _keys(F.col("text"))
-    rows = _with_marks(rows.withColumn("n", length).withColumn("p", prefix), screen, "n", "p")
+    rows = with_marks(rows.withColumn("n", length).withColumn("p", prefix), screen, "n", "p")
     return rows.withColumn("sha", F.when(F.col("marked"), F.sha2("text", 256))).drop("marked", "p")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.llm.exact import exact_groups
 from talentgrid.llm.html import extract
+from talentgrid.llm.lines import drop_lines
 from talentgrid.llm.packing import pack
 from talentgrid.llm.quality import held_out, score, train
 from talentgrid.llm.simhash import near_groups
@@ -60,6 +61,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_lines(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op5_decontamination")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -9,6 +9,7 @@ from talentgrid.session import ensure_checkpoints, new_path
 
 #: ASCII white space as a pattern of Java, RE2 and Python
 BLANKS = r"[\x20\x09-\x0D]+"
+SCREEN_BITS = 1 << 25  #: places of a bitmap: 4 MB
 
 
 def picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,3 +36,26 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SCREEN_BITS))
+
+
+def marks(keys: DataFrame) -> DataFrame:
+    """Bitmap of the places of all rows of ``keys``: (bucket, bits), ``SCREEN_BITS / 8`` bytes at most."""
+    place = _place(*keys.columns)
+    return keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    )
+
+
+def with_marks(rows: DataFrame, bitmap: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` and ``marked``: whether the bitmap has a mark at the place of ``keys``."""
+    rows = rows.withColumn("place", _place(*keys))
+    rows = rows.withColumn("bucket", F.bitmap_bucket_number("place"))
+    rows = rows.withColumn("spot", F.bitmap_bit_position("place"))
+    marked = F.expr("shiftright(cast(conv(hex(substring(bits, cast(spot div 8 as int) + 1, 1)), 16, 10)"
+                    " as int), cast(spot % 8 as int)) & 1 = 1")
+    return rows.join(F.broadcast(bitmap), "bucket", "left").withColumn(
+        "marked", F.coalesce(marked, F.lit(False))).drop("bucket", "bits", "spot", "place")

@@ -140,6 +140,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           ["a", "b"]) if found else None
 
     for b in batches:
+        if not b.num_rows:
+            continue
         rows = np.concatenate([rest, np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)])
         new = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1))
         upto = int(new[-1]) + 1 if len(new) else 0
