@@ -17,6 +17,7 @@ from talentgrid.llm.lines import drop_lines
 from talentgrid.llm.packing import pack
 from talentgrid.llm.quality import held_out, score, train
 from talentgrid.llm.simhash import near_groups
+from talentgrid.llm.suffixes import drop_repeats
 from talentgrid.llm.tiling import contaminations
 from talentgrid.llm.token_files import read_tokens, write_tokens
 from talentgrid.llm.warc import payload_digest, read_warc, with_revisits, write_warc
@@ -102,6 +103,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("id", "doc_id")
 
 
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.drop("kept").withColumnRenamed("id", "doc_id")
+
+
 def _digests(batches):
     """The digest of what was read for responses, that of the header for revisits."""
     for b in batches:
