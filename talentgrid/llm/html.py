@@ -28,7 +28,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 _HIDDEN = frozenset(
     "head script style template noscript title meta link iframe object video audio canvas svg math noembed"
-    " noframes datalist select area base param source track map".split())
+    " noframes datalist area base param source track map".split())
 _PARAGRAPHS = frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure fieldset hr xmp listing".split())
 _BLOCKS = _PARAGRAPHS | frozenset(
@@ -255,6 +255,14 @@ def _format(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     return [x for x in out if x]
 
 
+def _chosen(select: _Node) -> list[_Node]:
+    """What a closed menu shows: the selected option, else the first."""
+    options = [x for c in select.children if isinstance(c, _Node)
+               for x in ([c] if c.tag == "option" else c.children if c.tag == "optgroup" else ())
+               if isinstance(x, _Node) and x.tag == "option"]
+    return [x for x in options if "selected" in x.attrs][-1:] or options[:1]
+
+
 def render(root: _Node) -> str:
     """Text of a tree."""
     out = _Lines()
@@ -312,6 +320,8 @@ def render(root: _Node) -> str:
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, _Node) and c.tag == "summary"][:1]
+            elif tag == "select" and "multiple" not in node.attrs and node.attrs.get("size", "1") == "1":
+                children = _chosen(node)
             work.append((False, node))
             work.extend((True, c) for c in reversed(children))
             continue

@@ -185,7 +185,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``h``, ``fp`` and ``component_id`` (smallest id of all documents that links reach) of every row.
+    """``id``, ``h``, ``fp``, ``root`` (a fingerprint that names the group) and ``component_id`` (smallest id of
+    all documents that links reach) of every row.
 
     Null and empty texts have the fingerprint 0 and link as any other; rows with a null id are members, and
     give a null component only where no member has an id; no rows give no rows.
@@ -196,8 +197,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = named.join(least, "root").select("fp", "component_id")
-    return hashed.join(groups, "fp").select("id", "h", "fp", "component_id")
+    groups = named.join(least, "root").select("fp", "root", "component_id")
+    return hashed.join(groups, "fp").select("id", "h", "fp", "root", "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,11 +206,10 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     of rows that repeat an id the one with the smallest hash of its text. Of rows that repeat an id and a text
     one stays. The decisions, a few numbers a row, are joined to the rows; texts move only in that join.
     """
-    members = cut(near_groups(docs, id_col, text_col).groupBy("component_id", "id", "h").agg(
+    members = cut(near_groups(docs, id_col, text_col).groupBy("root", "id", "h").agg(
         F.count("*").alias("rows"))).withColumn("order", F.struct(F.col("id").isNull(), "id", "h"))
-    keepers = members.groupBy("component_id").agg(F.min("order").alias("keep"), F.sum("rows").alias("size"))
-    keepers = keepers.where("size > 1").withColumnRenamed("component_id", "of")
-    met = members.join(keepers, members["component_id"].eqNullSafe(keepers["of"]))
+    keepers = members.groupBy("root").agg(F.min("order").alias("keep"), F.sum("rows").alias("size"))
+    met = members.join(keepers.where("size > 1"), "root")
     decided = cut(met.select("id", "h", (F.col("order") == F.col("keep")).alias("stays"), "rows"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("key"),
                        F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_hash"))
