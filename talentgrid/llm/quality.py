@@ -81,8 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     rows = rows.orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
     sample = picked(docs, id_col, text_col).join(F.broadcast(rows), "id").select("y", "text")
-    sample = sample.limit(max_rows) if max_rows else sample
-    got = sample.mapInArrow(_measured, "y int, x array<double>").toArrow()
+    got = sample.mapInArrow(_measured, "y int, x array<double>").limit(max_rows).toArrow()  # ids may repeat
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(got.column("y").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # the order of rows from the cluster does not count
