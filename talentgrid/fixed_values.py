@@ -22,7 +22,6 @@ FIELD_WEIGHTS = [
     ("standardizedTitle", 5), ("title", 4), ("jobFunction", 2), ("industries", 1),
     ("descriptionText", 1),
 ]
-DESCRIPTION_CHARS = 1200
 EXCLUDED_ROLES = [
     "Sales Executive", "Operations Specialist", "Digital Marketing Specialist",
     "Risk & Compliance Analyst", "Finance Analyst", "Human Resources Specialist",

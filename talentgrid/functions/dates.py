@@ -6,12 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: accepted layouts, day first
-DAY_FIRST_FORMATS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "d MMM yyyy", "d MMMM yyyy"]
+DAY_FIRST_FORMATS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "d MMM yyyy", "d MMMM yyyy",
+                     "yyyy/M/d", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d/M/yy", "d-M-yy", "d.M.yy"]
+ISO_TIME = r"^\s*(\d{4}-\d{1,2}-\d{1,2})[T ]\d{1,2}:\d{2}.*$"
 
 
 def parse_day_first(text: Column) -> Column:
-    """Day-first date text to DATE; text that fits no layout becomes null (also under ANSI mode)."""
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in DAY_FIRST_FORMATS]
+    """Day-first date text to DATE; text that fits no layout becomes null (also under ANSI mode). Of an ISO
+    timestamp the date as written counts."""
+    day = F.regexp_replace(F.trim(text), ISO_TIME, "$1")
+    tries = [F.try_to_timestamp(day, F.lit(f)) for f in DAY_FIRST_FORMATS]
     return F.coalesce(*tries).cast("date")
 
 

@@ -32,15 +32,34 @@ def empty_strings() -> Column:
     return F.array().cast(STRINGS)
 
 
+def strip(text) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def parse_list_literal(text: Column) -> Column:
-    """``"['a', 'b']"`` to an array; null, blank or unparsable text gives an empty array."""
-    parsed = F.from_json(text, STRINGS, {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
-    return F.coalesce(parsed, empty_strings())
+    """A list or tuple literal, ``"['a', 'b']"``, to an array of its strings.
+
+    Items are quoted strings with escapes, None or numbers, with an optional comma at the end; None becomes a
+    null item and a number its text. Null, blank and any other text gives an empty array.
+    """
+    quoted = r"""'(?:[^'\\\\]|\\\\.)*'|"(?:[^"\\\\]|\\\\.)*\"""".replace("\\\\", "\\")
+    item = f"(?:{quoted}|None|True|False|[-+]?[0-9.]+)"
+    whole = rf"(?s)^\s*[\[(]\s*(?:{item}\s*(?:,\s*{item}\s*)*,?\s*)?[\])]\s*$"
+    items = F.regexp_extract_all(text, F.lit(f"(?s){item}"), F.lit(0))
+
+    def plain(s: Column) -> Column:
+        body = F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+        body = F.regexp_replace(F.regexp_replace(body, r"\\'", "'"), r'(?<!\\)"', r'\\"')
+        unescaped = F.get_json_object(F.concat(F.lit('{"v":"'), body, F.lit('"}')), "$.v")
+        return F.when(s.rlike("^['\"]"), F.coalesce(unescaped, body)).when(s != "None", s)
+
+    return F.when(F.coalesce(text.rlike(whole), F.lit(False)), F.transform(items, plain)).otherwise(empty_strings())
 
 
 def parse_delimited(text: Column, sep: str = ",", lower: bool = False) -> Column:
     """Split on a literal separator, trim, drop blanks; null gives an empty array."""
-    parts = F.transform(F.split(text, "\\Q" + sep + "\\E"), lambda s: F.trim(s))
+    parts = F.transform(F.split(text, "\\Q" + sep + "\\E"), lambda s: strip(s))
     if lower:
         parts = F.transform(parts, F.lower)
     return F.coalesce(F.filter(parts, lambda s: s != ""), empty_strings())
@@ -56,7 +75,7 @@ def dedup_ignoring_case(arr: Column) -> Column:
 
 def flatten_lower(arr: Column) -> Column:
     """Lowercase, trim, drop blanks and repeated values, keeping order."""
-    low = F.filter(F.transform(arr, lambda s: F.trim(F.lower(s))), lambda s: s != "")
+    low = F.filter(F.transform(arr, lambda s: strip(F.lower(s))), lambda s: s != "")
     return F.array_distinct(low)
 
 
@@ -74,14 +93,14 @@ def clean_skill_list(arr: Column, two_char_rule: bool = True) -> Column:
             ok = ok & ((F.length(s) != 2) | F.upper(s).isin(short_upper))
         return ok
 
-    trimmed = F.transform(arr, lambda s: F.trim(s))
+    trimmed = F.transform(arr, lambda s: strip(s))
     return dedup_ignoring_case(F.filter(trimmed, keep))
 
 
 def map_then_stop(arr: Column, synonyms: dict[str, str], stops) -> Column:
     """Lowercase and trim, map synonyms, then remove stop skills (vocabulary builder order)."""
     m = string_map(synonyms)
-    low = F.transform(arr, lambda s: F.trim(F.lower(s)))
+    low = F.transform(arr, lambda s: strip(F.lower(s)))
     mapped = F.transform(low, lambda s: F.coalesce(F.try_element_at(m, s), s))
     return F.filter(mapped, lambda s: ~s.isin(list(stops)))
 
@@ -89,14 +108,14 @@ def map_then_stop(arr: Column, synonyms: dict[str, str], stops) -> Column:
 def stop_then_map(arr: Column, synonyms: dict[str, str], stops) -> Column:
     """Clean tokens, remove stop skills and one-character tokens, then map synonyms."""
     m = string_map(synonyms)
-    clean = F.transform(arr, lambda s: F.regexp_replace(F.lower(F.trim(s)), r"\s+", " "))
+    clean = F.transform(arr, lambda s: F.regexp_replace(F.lower(strip(s)), r"\s+", " "))
     kept = F.filter(clean, lambda s: ~s.isin(list(stops)) & (F.length(s) >= 2))
     return F.transform(kept, lambda s: F.coalesce(F.try_element_at(m, s), s))
 
 
 def wide_columns_to_list(columns: list[Column]) -> Column:
     """Collect several nullable text columns into one lowercase, trimmed list."""
-    low = F.transform(F.array(*columns), lambda s: F.lower(F.trim(s)))
+    low = F.transform(F.array(*columns), lambda s: F.lower(strip(s)))
     return F.filter(low, lambda s: s.isNotNull() & (s != ""))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as V
-from talentgrid.functions.lists import bind, dedup_ignoring_case, string_map, strings
+from talentgrid.functions.lists import bind, dedup_ignoring_case, string_map, strings, strip
 
 # Word boundaries, \w and \s are meant Unicode-aware; (?U) makes Java's so on every JDK.
 UNICODE = "(?U)"
@@ -41,12 +41,12 @@ def norm_text(c: Column) -> Column:
 
 
 def clean_token(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
+    return F.regexp_replace(F.lower(strip(c)), r"\s+", " ")
 
 
 def squeeze(c: Column) -> Column:
     """Collapse any whitespace, including no-break spaces, to single blanks and trim."""
-    return F.trim(F.regexp_replace(c, "[\\s ]+", " "))
+    return strip(F.regexp_replace(c, "[\\s ]+", " "))
 
 
 def strip_any(c: Column, chars_class: str) -> Column:
@@ -65,11 +65,11 @@ def clean_document(c: Column) -> Column:
 
 def null_sentinels(c: Column) -> Column:
     """``undefined``, ``nan``, ``none`` and blank attribute text become null."""
-    return F.when(~F.lower(F.trim(c)).isin(V.NULL_WORDS), c)
+    return F.when(~F.lower(strip(c)).isin(V.NULL_WORDS), c)
 
 
 def role_is_usable(c: Column) -> Column:
-    t = F.lower(F.trim(c))
+    t = F.lower(strip(c))
     return c.isNotNull() & (t != "undefined") & (t != "")
 
 
@@ -93,13 +93,13 @@ def employment_bucket(c: Column) -> Column:
 # --- validity predicates ----------------------------------------------------------
 
 def is_garbage(c: Column) -> Column:
-    return c.isNull() | (c == "") | F.lower(F.trim(c)).isin(V.GARBAGE_WORDS)
+    return c.isNull() | (c == "") | F.lower(strip(c)).isin(V.GARBAGE_WORDS)
 
 
 def is_valid_skill(c: Column) -> Column:
     """Letter required, 2..30 characters, short allow-list, no dangling bracket, ≥ 60 % plain
     characters, not block-listed, not an e-mail or URL."""
-    s = F.trim(c)
+    s = strip(c)
     n = F.length(s)
     plain = F.length(F.regexp_replace(s, r"[^\p{L}\p{N}\-+#./_ ]", ""))
     return (
@@ -115,7 +115,7 @@ def is_valid_skill(c: Column) -> Column:
 def is_valid_company(c: Column) -> Column:
     """At least 3 characters with a letter, capital first; single words need 5 characters or be a
     capital abbreviation, and must not be block-listed."""
-    s = F.trim(c)
+    s = strip(c)
     single = ~s.rlike(r"\s")
     capitals = (F.upper(s) == s) & (F.lower(s) != s)
     listed = F.lower(s).isin(V.COMPANY_BLOCKLIST)
@@ -126,26 +126,26 @@ def is_valid_company(c: Column) -> Column:
 
 
 def is_valid_duration(c: Column) -> Column:
-    return rlike(F.trim(c), V.DURATION)
+    return rlike(strip(c), V.DURATION)
 
 
 def is_valid_designation(c: Column) -> Column:
-    s = F.trim(c)
+    s = strip(c)
     return (F.length(s) >= 3) & ~F.lower(s).isin(V.DESIGNATION_BLOCKLIST)
 
 
 def is_valid_name(c: Column) -> Column:
-    s = F.trim(c)
+    s = strip(c)
     return (F.length(s) >= 3) & ~s.rlike("^(http|www)") & ~F.lower(s).isin(V.NAME_BLOCKLIST)
 
 
 def is_valid_location(c: Column) -> Column:
-    s = F.trim(c)
+    s = strip(c)
     return (F.length(s) >= 3) & ~F.lower(s).isin(V.LOCATION_BLOCKLIST)
 
 
 def is_valid_degree(c: Column) -> Column:
-    s = F.trim(c)
+    s = strip(c)
     coded = (F.length(s) >= 3) & F.upper(F.substring(s, 1, 2)).isin("S1", "S2", "S3", "D3", "D4")
     return s.rlike(r"\S\s+\S") | coded
 
@@ -158,7 +158,7 @@ def email(c: Column) -> Column:
 
 def phone(c: Column, min_digits: int = 7) -> Column:
     """First phone-like text if it holds enough digits, else ''."""
-    p = F.trim(first_match(c, V.PHONE))
+    p = strip(first_match(c, V.PHONE))
     digits = F.length(F.regexp_replace(p, r"\D", ""))
     return F.when(digits >= min_digits, p).otherwise(F.lit(""))
 
@@ -200,7 +200,7 @@ def name_from_file(c: Column) -> Column:
     )
     picked = F.slice(F.filter(words, lambda w: F.length(w) > 1), 1, 4)
     named = F.transform(
-        picked, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))
+        picked, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
     )
     return F.when((F.size(words) >= 2) & (F.size(picked) >= 2), F.array_join(named, " "))
 
@@ -231,9 +231,9 @@ def known_skills_in(text: Column, skills=None) -> Column:
 
 def normalize_surface(c: Column, rules: dict[str, str] | None = None) -> Column:
     """Strip edge punctuation (keeping ``#+.-/``), lower; headers, degrees and numbers give ''."""
-    s = F.regexp_replace(F.trim(c), r"^[^a-zA-Z0-9#+.\-]+", "")
+    s = F.regexp_replace(strip(c), r"^[^a-zA-Z0-9#+.\-]+", "")
     s = F.regexp_replace(s, r"[^a-zA-Z0-9#+.\-/]+$", "")
-    s = F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))
+    s = strip(F.regexp_replace(F.lower(s), r"\s+", " "))
     m = string_map(V.SYNONYMS if rules is None else rules)
 
     def finish(s: Column) -> Column:
@@ -292,7 +292,7 @@ def expand_fragment(fragment: Column, text: Column, max_extra: int = 15) -> Colu
         after = F.regexp_extract(
             F.substring(text, pos + F.length(frag), F.length(text)), r"^([\p{L}\p{N}]*)", 1
         )
-        grown = F.trim(F.concat(before, F.substring(text, pos, F.length(frag)), after))
+        grown = strip(F.concat(before, F.substring(text, pos, F.length(frag)), after))
         return bind(grown, lambda g: F.when(
             (frag == "") | (pos == 0) | (F.length(g) > F.length(frag) + max_extra), frag
         ).otherwise(g))
@@ -301,7 +301,7 @@ def expand_fragment(fragment: Column, text: Column, max_extra: int = 15) -> Colu
         exact = F.position(frag, text)
         return F.when(exact > 0, exact).otherwise(F.position(F.lower(frag), F.lower(text)))
 
-    return bind(F.trim(fragment), lambda f: bind(locate(f), lambda pos: grow(f, pos)))
+    return bind(strip(fragment), lambda f: bind(locate(f), lambda pos: grow(f, pos)))
 
 
 # --- header lines -------------------------------------------------------------------------
@@ -383,6 +383,6 @@ def detect_language(text: Column, stop_words: dict[str, list[str]]) -> Column:
         F.array_max(language_scores(text, stop_words)),
         lambda b: F.when(b["score"] > 0, b["lang"]).otherwise("unknown"),
     )
-    return F.when(text.isNull() | (F.trim(text) == ""), "unknown").otherwise(best)
+    return F.when(text.isNull() | (strip(text) == ""), "unknown").otherwise(best)
 
 

@@ -14,7 +14,8 @@ def current_state(log: DataFrame, groups: dict[str, list[str]], key: str = "id",
             F.max(at).alias("updated_at")]
     for name, cols in groups.items():
         mine = F.when(F.col(stage) == name, F.struct(*cols))
-        aggs.append(F.max_by(mine, F.when(F.col(stage) == name, F.col(at))).alias(f"_{name}"))
+        order = F.when(F.col(stage) == name, F.struct(F.col(at), F.to_json(F.struct(*cols))))
+        aggs.append(F.max_by(mine, order).alias(f"_{name}"))
     state = log.groupBy(key).agg(*aggs).where(~F.col("_gone"))
     flat = [F.col(f"_{n}.{c}").alias(f"{n}_{c}") for n, cols in groups.items() for c in cols]
     return state.select(key, "created_at", "updated_at", *flat)

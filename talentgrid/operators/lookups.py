@@ -11,22 +11,22 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from talentgrid import fixed_values as V
-from talentgrid.functions.lists import bind
-from talentgrid.operators.tables import in_blocks, small_side, with_blocks
+from talentgrid.functions.lists import bind, strip
+from talentgrid.operators.tables import in_blocks, join_same, with_blocks
 
 
 def synonyms(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
     """Replace a value by its canonical form where the mapping (raw, canonical) has one."""
     m = mapping.select(F.col("raw").alias(col), "canonical")
-    return df.join(small_side(m), col, "left").withColumn(
+    return df.join(m, col, "left").withColumn(
         col, F.coalesce("canonical", F.col(col))).drop("canonical")
 
 
 def resolve_roles(requests: DataFrame, roles: DataFrame, col: str = "role") -> DataFrame:
     """Case- and blank-insensitive role resolution; ``resolved`` is null for unknown roles."""
-    keyed = roles.select(F.lower(F.trim("role")).alias("_k"), F.col("role").alias("resolved"))
-    return requests.withColumn("_k", F.lower(F.trim(F.col(col)))).join(
-        small_side(keyed), "_k", "left").drop("_k")
+    keyed = roles.select(F.lower(strip("role")).alias("_k"), F.col("role").alias("resolved"))
+    return requests.withColumn("_k", F.lower(strip(F.col(col)))).join(
+        keyed, "_k", "left").drop("_k")
 
 
 def courses_for_role(roles: DataFrame, courses: DataFrame) -> DataFrame:
@@ -49,15 +49,15 @@ def containment_category(df: DataFrame, text: str, taxonomy: DataFrame,
     """Category of the exact key, else of the first key (by order) that contains the text or is
     contained in it, else the default. ``taxonomy``: key, key_order, category."""
     blocks, n = in_blocks(taxonomy, "key", "key_order", "key", "category")
-    low = df.withColumn("_t", F.lower(F.trim(F.col(text))))
+    low = df.withColumn("_t", F.lower(strip(F.col(text))))
     rated = F.transform("rows", lambda r: F.struct(
         F.when(r["key"] == F.col("_t"), 0).when(
             F.contains(F.col("_t"), r["key"]) | F.contains(r["key"], F.col("_t")), 1).otherwise(2).alias("q"),
         r["key_order"].alias("o"), r["category"].alias("category")))
-    best = with_blocks(low, blocks, n).withColumn("_b", F.array_min(rated)).drop("rows", "_t")
-    merged = best if n == 1 else best.groupBy(*df.columns).agg(F.min("_b").alias("_b"))
-    return merged.withColumn(
-        "category", F.when(F.col("_b.q") < 2, F.col("_b.category")).otherwise(default)).drop("_b")
+    values = low.select("_t").where("_t IS NOT NULL").distinct()
+    best = with_blocks(values, blocks, n).groupBy("_t").agg(F.min(F.array_min(rated)).alias("_b"))
+    return join_same(low, best, ["_t"], "left").withColumn(
+        "category", F.when(F.col("_b.q") < 2, F.col("_b.category")).otherwise(default)).drop("_b", "_t")
 
 
 # --- fuzzy keys -------------------------------------------------------------------
@@ -84,7 +84,7 @@ def _char_tokens(s: Column) -> Column:
     """Characters tagged with their occurrence number, rarest kind (highest number) first."""
     def toks(chars: Column) -> Column:
         return F.sort_array(F.transform(chars, lambda c, i: F.concat(
-            F.lpad(F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string"), 3, "0"),
+            F.lpad(F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string"), 10, "0"),
             c)), asc=False)
 
     return bind(F.split(s, ""), toks)
@@ -141,7 +141,7 @@ def nearest_key(words: DataFrame, vocab: DataFrame, cutoff: float = 0.6,
 
 def recognise(words: DataFrame, vocab: DataFrame, cutoff: float = 0.75, metric: str = "ratio") -> DataFrame:
     """Word → vocabulary key: exact when known, else the nearest key. Only unknown words are compared."""
-    w = words.select(F.lower(F.trim("word")).alias("word")).distinct()
+    w = words.select(F.lower(strip("word")).alias("word")).distinct()
     v = vocab.select("key").distinct()
     exact = w.join(v, w.word == v.key, "left_semi").withColumn("key", F.col("word"))
     unknown = w.join(v, w.word == v.key, "left_anti")
@@ -176,12 +176,12 @@ def category_cascade(words: DataFrame, taxonomy: DataFrame, aliases: DataFrame,
 
     ``taxonomy``: key, category; ``aliases``: raw, canonical.
     """
-    w = words.select(F.trim("word").alias("word"), F.lower(F.trim("word")).alias("low")).distinct()
+    w = words.select(strip("word").alias("word"), F.lower(strip("word")).alias("low")).distinct()
     tax = taxonomy.select(F.col("key").alias("low"), F.col("category").alias("c1"))
     al = aliases.select(F.col("raw").alias("low"), "canonical")
     al_cat = taxonomy.select(F.col("key").alias("_ck"), F.col("category").alias("c2"))
-    base = w.join(small_side(tax), "low", "left").join(small_side(al), "low", "left").withColumn(
-        "_ck", F.lower("canonical")).join(small_side(al_cat), "_ck", "left")
+    base = w.join(tax, "low", "left").join(al, "low", "left").withColumn(
+        "_ck", F.lower("canonical")).join(al_cat, "_ck", "left")
     unknown = base.where("c1 IS NULL AND canonical IS NULL").select(F.col("low").alias("word"))
     near = nearest_key(unknown, taxonomy.select("key"), cutoff, metric).select(
         F.col("word").alias("low"), F.col("key").alias("near"))

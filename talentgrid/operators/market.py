@@ -7,7 +7,7 @@ totals are pre-aggregated and joined back, so a role with a third of all posting
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid.functions.numeric import clamp, saturate
@@ -147,12 +147,12 @@ def tfidf(postings: DataFrame, posting_skills: DataFrame) -> DataFrame:
     """
     freq = raw_frequency(postings, posting_skills)
     n_roles = role_sizes(postings).agg(F.count("*")).scalar()
-    scored = with_totals(freq, ["skill"], F.count("*").alias("df")).withColumn(
+    # rows are (role, skill) counts, at most roles × vocabulary: a window holds one role or one skill
+    scored = freq.withColumn("df", F.count("*").over(Window.partitionBy("skill"))).withColumn(
         "tfidf", F.col("freq") * F.log(n_roles / (1 + F.col("df")))
     )
-    ranged = with_totals(
-        scored, ["role"], F.min("tfidf").alias("lo"), F.max("tfidf").alias("hi")
-    )
+    role = Window.partitionBy("role")
+    ranged = scored.withColumn("lo", F.min("tfidf").over(role)).withColumn("hi", F.max("tfidf").over(role))
     span = F.col("hi") - F.col("lo")
     scaled = F.when(span < 1e-8, F.lit(0.5)).otherwise((F.col("tfidf") - F.col("lo")) / span)
     return ranged.select("role", "skill", "n", "freq", "df", "tfidf", scaled.alias("scaled"))

@@ -28,11 +28,13 @@ def _role_rows(rules: DataFrame) -> DataFrame:
 def keyword_hits(df: DataFrame, fields: list[str], rules: DataFrame) -> DataFrame:
     """Input rows with ``hits``: per role the first keyword contained in each field (null if none).
 
-    A raw substring test on lowercase text. The rule table rides along as an array, so the test is
-    row-local; a very large rule table is split into blocks (several rows per input row).
+    A raw substring test on lowercase text. Different texts are tested against the rules in blocks of
+    roles, and what they hit is joined back by the texts' digest: one row for each input row at any size.
     """
     blocks, n = in_blocks(_role_rows(rules), "role", "role_order", "role", "keywords")
     texts = df.withColumn("_texts", F.array(*[norm_text(F.col(f)) for f in fields]))
+    texts = texts.withColumn("_d", F.sha2(F.to_json(F.struct("_texts")), 256))
+    values = texts.select("_d", "_texts").dropDuplicates(["_d"])
 
     def first(role: Column, i: int) -> Column:
         return F.get(F.filter(role["keywords"], lambda k: F.contains(F.get("_texts", F.lit(i)), k)), F.lit(0))
@@ -40,24 +42,21 @@ def keyword_hits(df: DataFrame, fields: list[str], rules: DataFrame) -> DataFram
     hits = F.transform("rows", lambda r: F.struct(
         r["role_order"].alias("role_order"), r["role"].alias("role"),
         F.array(*[first(r, i) for i in range(len(fields))]).alias("words")))
-    return with_blocks(texts, blocks, n).withColumn("hits", hits).drop("rows", "_texts")
+    found = with_blocks(values, blocks, n).select("_d", hits.alias("hits")).groupBy("_d").agg(
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # bounded by the roles
+    return texts.join(found, "_d", "left").drop("_d", "_texts")
 
 
 def classify_roles(df: DataFrame, row_id: str, rules: DataFrame,
-                   weights: list[tuple[str, int]] | None = None,
-                   description_chars: int | None = None) -> DataFrame:
+                   weights: list[tuple[str, int]] | None = None) -> DataFrame:
     """Best role per row: label, score, source field and first keyword.
 
     One hit per field counts its weight; the earliest declared role wins a tie; no hit gives the
-    fallback label. ``description_chars`` limits the last field (1200 for results identical to the
-    labelling rules' original cut); by default whole texts are searched.
+    fallback label. Whole texts are searched.
     """
     weights = weights or V.FIELD_WEIGHTS
     fields = [f for f, _ in weights if f in df.columns]
     w = dict(weights)
-    if description_chars and "descriptionText" in fields:
-        cut = F.substring(F.lower("descriptionText"), 1, description_chars)
-        df = df.withColumn("descriptionText", cut)
     scored = keyword_hits(df.select(row_id, *fields), fields, rules)
 
     def score(h: Column) -> Column:
@@ -69,9 +68,9 @@ def classify_roles(df: DataFrame, row_id: str, rules: DataFrame,
     best = F.array_max(F.transform("hits", lambda h: F.struct(
         score(h).alias("score"), (-h["role_order"]).alias("o"), h["role"].alias("role"),
         h["words"].alias("words"))))
-    top = scored.select(row_id, best.alias("b")).groupBy(row_id).agg(F.max("b").alias("b"))
+    top = scored.select(row_id, best.alias("b"))
     pos = F.array_position(F.transform("b.words", lambda x: x.isNotNull()), True)
-    hit = F.col("b.score") > 0
+    hit = F.coalesce(F.col("b.score"), F.lit(0)) > 0
     return top.select(
         row_id,
         F.when(hit, F.col("b.role")).otherwise(V.FALLBACK_ROLE).alias("role_label"),

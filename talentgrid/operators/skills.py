@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as V
-from talentgrid.functions.tokens import NON_WORD, WORD, word_contexts
-from talentgrid.operators.tables import small_side
+from talentgrid.functions.tokens import NON_WORD, WORD, word_grams
 
 HITS = "array<struct<start:int,stop:int,skill:string>>"
 
@@ -32,29 +31,27 @@ def build_dictionary(surfaces: DataFrame, extra=None, aliases: dict[str, list[st
 def dictionary_hits(docs: DataFrame, doc_id: str, text: str, dictionary: DataFrame) -> DataFrame:
     """Every whole-phrase occurrence of a dictionary surface: (doc_id, start, stop, skill).
 
-    Words are joined to phrases by the phrase's first word, then the phrase is checked against the
-    word's context, so only candidates leave a document.
+    A document emits its word sequences of the lengths that phrases have, and these meet the phrases by
+    equality; the text between and around the words, which the sequence carries, is then checked. A common
+    first word or a long phrase makes no other rows than those of its own length.
     """
-    heads = dictionary.select(
-        F.lower("surface").alias("phrase"), F.col("canonical").alias("skill"),
-        F.regexp_extract(F.lower("surface"), f"{WORD}+", 0).alias("head"),
+    words = F.regexp_extract_all(F.lower("surface"), F.lit(f"{WORD}+"), F.lit(0))
+    phrases = dictionary.select(
+        F.lower("surface").alias("phrase"), F.col("canonical").alias("skill"), words.alias("w"),
         F.length(F.regexp_extract("surface", f"^{NON_WORD}*", 0)).alias("skip"),
-        F.size(F.regexp_extract_all("surface", F.lit(f"{WORD}+"), F.lit(0))).alias("words"),
-    ).where("head <> ''")
-    longest = heads.agg(F.coalesce(F.max("words"), F.lit(1))).scalar()
-    words = docs.withColumn("_w", longest).select(
-        doc_id, F.explode(word_contexts(F.col(text), F.col("_w"))).alias("t")
-    ).select(doc_id, "t.*")
+    ).where(F.size("w") > 0).select("phrase", "skill", "skip", F.array_join("w", " ").alias("gram"), F.size("w").alias("n"))
+    lengths = phrases.agg(F.coalesce(F.array_sort(F.collect_set("n")), F.array().cast("array<int>"))).scalar()
+    grams = docs.withColumn("_n", lengths).select(
+        doc_id, F.explode(word_grams(F.col(text), F.col("_n"))).alias("t")).select(doc_id, "t.*")
     at = F.col("lead") - F.col("skip")
     n = F.length("phrase")
     same = F.lower(F.substring("context", at + 1, n)) == F.col("phrase")
     after = F.substring("context", at + n + 1, F.lit(1))
-    open_before = (F.col("skip") == 0) | (at > 0) | (F.col("start") == F.col("skip"))
+    begin = F.col("start") - F.col("skip")
+    open_before = (F.col("skip") == 0) | (at > 0) | (begin == 0)
     return (
-        words.join(small_side(heads), "head")
-        .where((at >= 0) & same & ~after.rlike(WORD) & open_before)
-        .select(doc_id, (F.col("start") - F.col("skip")).alias("start"),
-                (F.col("start") - F.col("skip") + n).alias("stop"), "skill"))
+        grams.join(phrases.drop("n"), "gram").where((at >= 0) & same & ~after.rlike(WORD) & open_before)
+        .select(doc_id, begin.alias("start"), (begin + n).alias("stop"), "skill"))
 
 
 def leftmost_longest(hits: DataFrame, doc_id: str) -> DataFrame:

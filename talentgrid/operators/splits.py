@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.functions.numeric import saturate
-from talentgrid.operators.tables import hash_ranked, seeded_hash, small_side, top_n
+from talentgrid.operators.tables import hash_ranked, seeded_hash, top_n
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -84,7 +84,7 @@ def weighted_sample(profiles: DataFrame, pools: DataFrame, size: Column, seed: i
                     weighted: Column | None = None) -> DataFrame:
     """Skills drawn without replacement per profile, by role frequency (or uniformly where
     ``weighted`` is false): smallest −ln(u)/w keys first. One row per profile, no candidate rows."""
-    rows = profiles.join(small_side(pools), "role")
+    rows = profiles.join(pools, "role")
     use_w = F.lit(True) if weighted is None else weighted
     keyed = F.transform("pool", lambda p: F.struct(
         (-F.log(uniform(seed, F.col("profile_id"), p["skill"]))
@@ -124,7 +124,7 @@ def profile_targets(profiles: DataFrame, frequency: DataFrame, scaled: DataFrame
                             weighted=uniform(seed + 2, me) < realistic)
     goals = scaled.select("role", "skill", saturate(F.col("scaled")).alias("target")).groupBy("role").agg(
         F.array_sort(F.collect_list(F.struct("skill", "target"))).alias("goals"))
-    rows = drawn.join(small_side(goals), "role")
+    rows = drawn.join(goals, "role")
     lacking = F.filter("goals", lambda g: ~F.array_contains("owned", g["skill"]))
     return rows.select("profile_id", "role", "owned", lacking.alias("targets"))
 
@@ -142,6 +142,6 @@ def demand_rows(demands: DataFrame, sizes: DataFrame, role_skills: DataFrame, ma
     n_valid = numbered.groupBy("role").agg(F.first("valid").alias("valid"))
     skills = role_skills.groupBy("role").agg(F.array_sort(F.collect_set("skill")).alias("skills"))
     number = F.floor(uniform(seed + 3, F.col("demand_id")) * F.col("valid")) + 1
-    picked = drawn.join(small_side(n_valid), "role").withColumn("number", number)
+    picked = drawn.join(n_valid, "role").withColumn("number", number)
     return picked.join(numbered.select("role", "number", "course_id"), ["role", "number"]).join(
-        small_side(skills), "role").select("demand_id", "role", "skills", "course_id")
+        skills, "role").select("demand_id", "role", "skills", "course_id")

@@ -9,17 +9,29 @@ from pyspark.sql.window import Window
 
 from talentgrid.session import ensure_checkpoints
 
+BLOCK_ROWS = 512  #: lookup rows that one array holds
 HASH_HEX_DIGITS = 3  # 4096 uniform hash buckets per group
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equality join on ``keys`` in which null meets null; the keys appear once."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        same = left[k].eqNullSafe(other[f"_same_{k}"])
+        cond = same if cond is None else cond & same
+    return left.join(other, cond, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def with_totals(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     """Attach per-key aggregates by a pre-aggregated join.
 
     Unlike a window, the aggregation combines map-side and a hot key is not moved into one task;
     AQE broadcasts the totals when their measured size allows it and splits skewed joins otherwise.
+    Rows with a null key form a group of their own.
     """
     totals = df.groupBy(*keys).agg(*aggs)
-    return df.join(totals, keys)
+    return join_same(df, totals, keys)
 
 
 def top_n(df: DataFrame, n: int, *order: Column, by: list[str] | None = None,
@@ -68,7 +80,7 @@ def hash_ranked(df: DataFrame, key: str, seed: int, by: list[str] | None = None,
     inside = Window.partitionBy(*by, "_b").orderBy("_h", key)
     ranked = h.withColumn("_r", F.row_number().over(inside))
     return (
-        ranked.join(offsets, [*by, "_b"])
+        join_same(ranked, offsets, [*by, "_b"])
         .withColumn(rank, F.col("_before") + F.col("_r"))
         .drop("_h", "_b", "_r", "_before")
     )
@@ -108,33 +120,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast a join side only after counting that it is small; otherwise leave it to the
-    shuffled join that AQE plans (and splits, when skewed)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once what several branches of a plan read: a reliable checkpoint in the shared
-    folder, which survives lost executors."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
-def in_blocks(df: DataFrame, key: str, *cols: str, block_rows: int = 512) -> tuple[DataFrame, int]:
-    """A lookup table as few rows of arrays: (block, rows[]), each about ``block_rows`` entries."""
-    n_blocks = max(1, -(-df.count() // block_rows))
-    block = F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
-    blocks = df.groupBy(block.alias("block")).agg(
+def in_blocks(df: DataFrame, key: str, *cols: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Column]:
+    """A lookup table as few rows of arrays: (block, rows[]), each about ``block_rows`` entries, and the
+    number of blocks as a scalar subquery, so that planning starts no job."""
+    n = df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("n")).scalar()
+    block = F.pmod(F.xxhash64(key), n).cast("int")
+    blocks = df.withColumn("block", block).groupBy("block").agg(
         F.array_sort(F.collect_list(F.struct(*cols))).alias("rows")
     )
-    return blocks, n_blocks
+    return blocks, n
 
 
-def with_blocks(df: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """Give every row the lookup arrays: one row per block, so a comparison with the whole lookup
-    table is an array expression and only its results leave the row."""
-    if n_blocks == 1:
-        return df.withColumn("rows", blocks.select("rows").scalar())
-    fan = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    return fan.join(small_side(blocks, 64), "block").drop("block")
+def with_blocks(df: DataFrame, blocks: DataFrame, n: Column) -> DataFrame:
+    """Every row once for each block, with the block's lookup rows as the array ``rows``; callers bring the
+    results of a row together by its own value. The same at every size of the lookup table."""
+    fan = df.withColumn("block", F.explode(F.sequence(F.lit(0), n - 1)))
+    return fan.join(blocks, "block").drop("block")

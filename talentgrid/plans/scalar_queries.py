@@ -140,7 +140,7 @@ _COMPANY = """(SELECT token AS s FROM tk UNION SELECT s_name FROM supplier UNION
   AND (regexp_matches(s, '\s') OR (((upper(s) = s AND lower(s) <> s) OR length(s) >= 5) AND lower(s) NOT IN ({sql_list(V.COMPANY_BLOCKLIST)})))""")
 def _(t):
     name = F.col("p_name")
-    cap = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1000))
+    cap = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
     rows = document_tokens(t).select(F.col("token").alias("s")).union(t.supplier.select("s_name")).union(
         t.part.select("p_name")).union(t.part.select(cap)).distinct()
     return rows.where(text.is_valid_company(F.col("s")))
@@ -422,7 +422,7 @@ def _(t):
         F.array_join(text.sanitize_skills(F.col("c")), "|").alias("skills"))
 
 
-@query("fun_15_expand_fragment", r"""WITH f AS (SELECT doc_id, text, trim(substr(text, 4, 6)) AS frag FROM documents),
+@query("fun_15_expand_fragment", r"""WITH f AS (SELECT doc_id, text, regexp_replace(substr(text, 4, 6), '^\s+|\s+$', '', 'g') AS frag FROM documents),
   p AS (SELECT *, CASE WHEN strpos(text, frag) > 0 THEN strpos(text, frag) ELSE strpos(lower(text), lower(frag)) END AS pos FROM f),
   g AS (SELECT *, trim(regexp_extract(substr(text, 1, pos - 1), '([\p{L}\p{N}]*)$', 1) || substr(text, pos, length(frag)) || regexp_extract(substr(text, pos + length(frag)), '^([\p{L}\p{N}]*)', 1)) AS grown FROM p)
   SELECT doc_id, CASE WHEN frag = '' OR pos = 0 OR length(grown) > length(frag) + 15 THEN frag ELSE grown END AS expanded FROM g""")

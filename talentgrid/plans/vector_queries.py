@@ -71,7 +71,7 @@ def _(t):
 def _(t):
     cents = label_centroids(t).withColumnRenamed("label", "role")
     rows = t.embeddings.withColumnRenamed("label", "own")
-    return X.nearest(rows, cents, "vec_id", 1_000_000, "role", left_vec="embedding", exclude="own").select(
+    return X.nearest(rows, cents, "vec_id", None, "role", left_vec="embedding", exclude="own").select(
         "vec_id", "role", R("sim", 5).alias("sim"))
 
 

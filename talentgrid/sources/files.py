@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.functions.lists import parse_delimited, wide_columns_to_list
+from talentgrid.functions.lists import parse_delimited, strip, wide_columns_to_list
 from talentgrid.functions.spans import map_annotation_label
 from talentgrid.functions.text import clean_document
 from talentgrid.operators.profile import sections
@@ -38,13 +38,15 @@ def postings_csv(spark: SparkSession, path: str, schema: str = POSTING_SCHEMA) -
 def courses_csv(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     """Semicolon-separated latin-1 catalog whose header is the second line.
 
-    The reader gets the column names; the title line and the header line are dropped by value, rows
-    without skills too, and the skill list is parsed."""
+    The reader gets the column names; a row equal to them in all columns is the header line. Rows without
+    skills, as the title line, are dropped; courses without a name stay. The skill list is parsed."""
     schema = ", ".join(f"`{c}` string" for c in header)
     raw = spark.read.schema(schema).option("sep", ";").option("encoding", "ISO-8859-1").option(
         "quote", '"').csv(path)
-    body = raw.where(F.col(f"`{header[0]}`").isNotNull() & (F.col(f"`{header[0]}`") != header[0]))
-    kept = body.where(F.col("Skills").isNotNull())
+    is_header = F.lit(True)
+    for c in header:
+        is_header = is_header & F.col(f"`{c}`").eqNullSafe(F.lit(c))
+    kept = raw.where(~is_header).where(F.col("Skills").isNotNull())
     listed = kept.withColumn("skills_list", parse_delimited(F.col("Skills"), ";")).withColumn(
         "skill_count", F.size("skills_list"))
     for old, new in COURSE_COLUMNS.items():
@@ -63,7 +65,7 @@ def dictionary_csv(spark: SparkSession, path: str, columns=("Example", "Commodit
     """Distinct trimmed lowercase names from the dictionary columns that exist."""
     raw = spark.read.option("header", True).csv(path)
     have = [F.col(f"`{c}`") for c in columns if c in raw.columns]
-    names = F.explode(F.transform(F.array(*have), lambda s: F.lower(F.trim(s))))
+    names = F.explode(F.transform(F.array(*have), lambda s: F.lower(strip(s))))
     return raw.select(names.alias("skill")).where("skill IS NOT NULL AND skill <> ''").distinct()
 
 
@@ -71,13 +73,13 @@ def annotated_documents(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per line; bad lines and blank texts are skipped. Long form of the spans:
     doc_id (hash of the text), content, span_id, s, e (exclusive), label."""
     docs = spark.read.schema(ANNOTATION_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    good = docs.withColumn("content", F.trim("content")).where("content IS NOT NULL AND content <> ''")
+    good = docs.withColumn("content", strip("content")).where("content IS NOT NULL AND content <> ''")
     ided = good.withColumn("doc_id", F.md5("content"))
     anns = ided.select("doc_id", "content", F.posexplode_outer("annotation").alias("i", "a"))
     pts = anns.select("doc_id", "content", "i", F.get("a.label", F.lit(0)).alias("raw"),
                       F.posexplode_outer("a.points").alias("j", "p"))
     return pts.select(
-        "doc_id", "content", (F.col("i") * 100000 + F.col("j")).alias("span_id"), F.col("p.start").alias("s"),
+        "doc_id", "content", (F.col("i").cast("long") * (1 << 32) + F.col("j")).alias("span_id"), F.col("p.start").alias("s"),
         (F.col("p.end") + 1).alias("e"), map_annotation_label(F.col("raw")).alias("label"),
     ).where("e > s AND label IS NOT NULL")
 

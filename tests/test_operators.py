@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from talentgrid.functions import answers, lists, numeric, spans, text, tokens
@@ -189,3 +190,74 @@ def test_plans_stay_in_the_jvm(spark, small):
     for name in ("agg_16_tfidf", "cls_2_dictionary_skills", "cls_8_skill_gap", "prf_4_experience_records"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_long_phrases_and_common_first_words(spark):
+    long = " ".join(f"word{i}" for i in range(30))
+    words = [f"the thing {i}" for i in range(5000)] + [long]
+    d = S.build_dictionary(spark.createDataFrame([(w,) for w in words], "surface string"), extra=[], aliases={})
+    docs = spark.createDataFrame([(1, f"The thing 77, and {long}!"), (2, "the the the thing"), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r.skills for r in S.extract_skills(docs, "doc_id", "text", d).collect()}
+    assert got == {1: ["the thing 77", long], 2: [], 3: []}
+
+
+def test_list_literals_dates_and_white_space(spark):
+    from talentgrid.functions import dates, lists, text
+
+    df = spark.createDataFrame([
+        (1, "['a', 'b']"), (2, "['a', None]"), (3, "['a',]"), (4, "('a', \"b\")"), (5, r"['a\x41', 'it\'s', \"x\\y\"]".replace('\\"', '"')),
+        (6, "[]"), (7, None), (8, "nothing"), (9, "['a'"), (10, "['a, b', 'c]']"), (11, "[1, 'two']")], "id int, t string")
+    got = {r.id: r.v for r in df.select("id", lists.parse_list_literal(F.col("t")).alias("v")).collect()}
+    assert got == {1: ["a", "b"], 2: ["a", None], 3: ["a"], 4: ["a", "b"], 5: ["aA", "it's", "x\\y"], 6: [], 7: [], 8: [], 9: [],
+                   10: ["a, b", "c]"], 11: ["1", "two"]}
+    df = spark.createDataFrame([(x,) for x in (
+        "2021-03-04T10:00:00Z", "2021-03-04 10:00:00", "2021/03/04", "March 4, 2021", "04-03-21", "4/3/2021", " 4 Mar 2021 ", "x", None)], "t string")
+    got = [str(r.d) for r in df.select(dates.parse_day_first(F.col("t")).alias("d")).collect()]
+    assert got == ["2021-03-04"] * 7 + ["None"] * 2
+    row = spark.sql(r"SELECT '\tPython  3\n' AS a, 'nan\t' AS b, 'a\t; b \n;c\n' AS c").select(
+        text.clean_token(F.col("a")), text.null_sentinels(F.col("b")), lists.parse_delimited(F.col("c"), ";")).first()
+    assert tuple(row) == ("python 3", None, ["a", "b", "c"])
+
+
+@pytest.mark.parametrize("keys", [1, 600])
+def test_lookups_behave_alike_at_every_size(spark, keys):
+    from talentgrid.operators.lookups import containment_category
+    from talentgrid.operators.roles import keyword_hits
+
+    taxonomy = spark.createDataFrame([("sql", 0, "Data")] + [(f"key{i}", i, "Other") for i in range(1, keys)], "key string, key_order int, category string")
+    rows = spark.createDataFrame([(1, "my SQL"), (1, "my SQL"), (2, "none"), (3, None)], "id int, word string")
+    got = sorted(tuple(r) for r in containment_category(rows, "word", taxonomy).select("id", "category").collect())
+    assert [g[0] for g in got] == [1, 1, 2, 3] and got[0] == got[1] == (1, "Data") and got[2][1] == got[3][1] != "Data"
+    rules = rules_table(spark, {f"R{i}": [f"word{i}"] for i in range(keys)})
+    docs = spark.createDataFrame([(1, "has word0"), (1, "has word0"), (2, None)], "id int, t string")
+    assert [len(r.hits) for r in keyword_hits(docs, ["t"], rules).collect()] == [keys] * 3
+    assert sorted(r.label_score for r in classify_roles(docs.withColumnRenamed("t", "title"), "id", rules).collect()) == [0, 4, 4]
+
+
+def test_null_keys_and_long_labels_stay(spark):
+    from talentgrid.operators.spans import decode_spans
+    from talentgrid.operators.splits import stratified_split, three_way_split
+    from talentgrid.operators.tables import with_totals
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (None, "a")], "id int, role string")
+    assert stratified_split(rows, "id", "role").count() == 5 and three_way_split(rows, "id").count() == 5
+    got = with_totals(rows, ["role"], F.count("*").alias("n"))
+    assert sorted((r.n for r in got.collect())) == [2, 2, 3, 3, 3] and got.columns == ["id", "role", "n"]
+    label = "L" * 1500
+    tokens = spark.createDataFrame([(1, 0, "x", f"B-{label}"), (1, 1, "y", f"I-{label}")], "doc_id int, pos int, token string, tag string")
+    assert [(r.label, r.text) for r in decode_spans(tokens).collect()] == [(label, "x y")]
+
+
+def test_building_queries_starts_no_job(spark, small):
+    from talentgrid.plans.catalog import QUERIES
+
+    context = spark.sparkContext
+    for name in ("agg_16_tfidf", "cls_8_skill_gap", "cls_9_course_recommendation", "cls_6_profile_predictor", "jon_16_containment_category",
+                 "cls_1_role_labels", "jon_5_mapping_cascade", "smp_1_stratified_split", "jon_6_threshold_links"):
+        name = next((q for q in QUERIES if q == name or q.startswith("_".join(name.split("_")[:2]) + "_")), None)
+        spark.sparkContext.setJobGroup("build", name)
+        before = len(context.statusTracker().getJobIdsForGroup("build"))
+        QUERIES[name](spark, small)
+        jobs = len(context.statusTracker().getJobIdsForGroup("build")) - before
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs <= 14, (name, jobs)  # at most a schema read for each table
