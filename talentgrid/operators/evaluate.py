@@ -106,17 +106,28 @@ def contingency(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return t.withColumn("statistic", F.when(d > 0, gap * gap / d).otherwise(F.lit(0.0)))
 
 
-@F.udf(T.DoubleType())
-def _chi2_tail(x):
-    return None if x is None else math.erfc(math.sqrt(x / 2.0))
+def chi2_tail(statistic: Column, terms: int = 200) -> Column:
+    """Upper tail of χ² with one degree of freedom: 1 − erf(√(x/2)), by a series of positive terms."""
+    x2 = statistic / 2.0
+
+    def step(acc: Column, k: Column) -> Column:
+        term = acc["term"] * x2 / (k + 0.5)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["total"])
+    erf = 2.0 / math.sqrt(math.pi) * F.sqrt(x2) * F.exp(-x2) * series
+    return F.greatest(F.lit(0.0), 1.0 - erf)
 
 
 def mcnemar(df: DataFrame, a: Column, b: Column, alpha: float = 0.05) -> DataFrame:
-    """Contingency table with p-value (χ², one degree of freedom) and the decision.
+    """Contingency table with p-value (χ², one degree of freedom) and the decision."""
+    return with_decision(contingency(df, a, b), alpha)
+
 
-    The tail function runs on the single result row."""
-    t = contingency(df, a, b)
-    p = F.when(F.col("a_only") + F.col("b_only") > 0, _chi2_tail("statistic")).otherwise(F.lit(1.0))
+def with_decision(t: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """A contingency row with ``p_value`` and ``decision``."""
+    p = F.when(F.col("a_only") + F.col("b_only") > 0, chi2_tail(F.col("statistic"))).otherwise(F.lit(1.0))
     return t.withColumn("p_value", p).withColumn(
         "decision", F.when(F.col("p_value") >= alpha, "no difference")
         .when(F.col("b_only") > F.col("a_only"), "b better").otherwise("a better"))

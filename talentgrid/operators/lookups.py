@@ -148,6 +148,18 @@ def recognise(words: DataFrame, vocab: DataFrame, cutoff: float = 0.75, metric:
     return exact.unionByName(nearest_key(unknown, vocab, cutoff, metric).select("word", "key"))
 
 
+def recognised(rows: DataFrame, vocab: DataFrame, cutoff: float = 0.75, metric: str = "ratio") -> DataFrame:
+    """Rows with ``skill`` replaced by the vocabulary's spelling: equal ignoring case and outer white space, else
+    the nearest key. Rows without one go, repeated rows become one. Each different spelling is looked up once.
+    """
+    key = F.lower(strip("skill"))
+    known = vocab.groupBy(key.alias("key")).agg(F.min("skill").alias("_known"))
+    words = rows.select(key.alias("word")).distinct()
+    found = recognise(words, known.select("key"), cutoff, metric).join(known, "key").select("word", "_known")
+    return rows.withColumn("word", key).join(found, "word").withColumn("skill", F.col("_known")).drop(
+        "word", "_known").distinct()
+
+
 def mapping_cascade(source: DataFrame, target: DataFrame, curated: DataFrame, cutoff: float = 0.7,
                     metric: str = "ratio") -> DataFrame:
     """Source skill → target skill with the step that found it: curated (valid on both sides),

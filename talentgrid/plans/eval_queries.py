@@ -69,9 +69,20 @@ def _(t):
     return c.withColumn("statistic", R("statistic"))
 
 
-@query("agg_35_mcnemar_test")
+RECURSIVE_TAIL = """, er AS (SELECT 0 AS k, statistic / 2 AS x2, 1.0::DOUBLE AS term, 1.0::DOUBLE AS total FROM ct UNION ALL
+    SELECT k + 1, x2, term * x2 / (k + 1.5), total + term * x2 / (k + 1.5) FROM er WHERE k < 200),
+  pv AS (SELECT CASE WHEN a_only + b_only > 0 THEN greatest(0, 1 - 2 / sqrt(pi()) * sqrt(x2) * exp(-x2) * total) ELSE 1.0 END AS p_value FROM er, ct WHERE k = 200),
+  de AS (SELECT CASE WHEN p_value >= 0.05 THEN 'no difference' WHEN b_only > a_only THEN 'b better' ELSE 'a better' END AS decision FROM pv, ct)
+"""
+
+
+@query("agg_35_mcnemar_test", """WITH RECURSIVE ct0 AS (SELECT count_if(l_discount > 0.05 AND l_tax > 0.04) AS "both", count_if(l_discount > 0.05 AND NOT l_tax > 0.04) AS a_only,
+   count_if(NOT l_discount > 0.05 AND l_tax > 0.04) AS b_only, count_if(NOT l_discount > 0.05 AND NOT l_tax > 0.04) AS neither FROM lineitem),
+  ct AS (SELECT "both", a_only, b_only, neither, (abs(a_only - b_only) - 1) ^ 2 / (a_only + b_only) AS statistic FROM ct0)""" + RECURSIVE_TAIL + """
+  SELECT "both", a_only, b_only, neither, round(statistic, 4) AS statistic, round(p_value, 6) AS p_value, decision FROM ct, pv, de""")
 def _(t):
-    return E.mcnemar(t.labels, F.col("quality") == 1, F.col("toxic") == 1)
+    m = E.mcnemar(t.lineitem, F.col("l_discount") > 0.05, F.col("l_tax") > 0.04)
+    return m.withColumn("statistic", R("statistic", 4)).withColumn("p_value", R("p_value"))
 
 
 @query("agg_36_bootstrap_interval")
@@ -202,15 +213,17 @@ def _(t):
     return E.precision_at_1(strategy_b(t)).withColumn("precision", R("precision"))
 
 
-@query("cls_7_strategy_report", _TT + """, j AS (SELECT A.predicted = A.role AS a, B.predicted = B.role AS b FROM A JOIN B USING (job_id)),
+@query("cls_7_strategy_report", (_TT + """, j AS (SELECT A.predicted = A.role AS a, B.predicted = B.role AS b FROM A JOIN B USING (job_id)),
   cc AS (SELECT count(*) AS n, count_if(a AND b) AS bo, count_if(a AND NOT b) AS ao, count_if(NOT a AND b) AS b0, count_if(NOT a AND NOT b) AS ne FROM j)
-  SELECT bo AS "both", ao AS a_only, b0 AS b_only, ne AS neither, round(CASE WHEN ao + b0 > 0 THEN (abs(ao - b0) - 1) ^ 2 / (ao + b0) ELSE 0 END, 6) AS statistic,
-   round((bo + ao) / n, 6) AS precision_a, round((bo + b0) / n, 6) AS precision_b FROM cc""")
+""").replace("WITH ", "WITH RECURSIVE ", 1) + """, ct AS (SELECT n, bo AS "both", ao AS a_only, b0 AS b_only, ne AS neither, CASE WHEN ao + b0 > 0 THEN (abs(ao - b0) - 1) ^ 2 / (ao + b0) ELSE 0 END AS statistic FROM cc)
+  """ + RECURSIVE_TAIL + """SELECT "both", a_only, b_only, neither, round(statistic, 6) AS statistic, round(("both" + a_only) / n, 6) AS precision_a,
+   round(("both" + b_only) / n, 6) AS precision_b, round(p_value, 6) AS p_value, decision FROM ct, pv, de""")
 def _(t):
     a = strategy_a(t).select("job_id", "role", F.col("predicted").alias("a"))
     b = strategy_b(t).select("job_id", F.col("predicted").alias("b"))
     c = E.contingency(a.join(b, "job_id"), F.col("a") == F.col("role"), F.col("b") == F.col("role"))
     n = F.col("both") + F.col("a_only") + F.col("b_only") + F.col("neither")
+    c = E.with_decision(c).withColumn("p_value", R("p_value"))
     return c.withColumn("precision_a", R((F.col("both") + F.col("a_only")) / n)).withColumn(
         "precision_b", R((F.col("both") + F.col("b_only")) / n)).withColumn("statistic", R("statistic"))
 

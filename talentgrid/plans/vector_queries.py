@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions import numeric
 from talentgrid.operators import gap as G
+from talentgrid.operators import lookups as L
 from talentgrid.operators import market as M
 from talentgrid.operators import vectors as X
 from talentgrid.operators.tables import best_row, top_n
@@ -201,6 +202,68 @@ def _(t):
                     R(F.aggregate("missing", F.lit(0.0), lambda a, m: a + m["score"]), 6).alias("missing_score"))
 
 
+_KNOWN = P_SQL + """, ps AS (SELECT profile_id, target_role, CASE WHEN length(skill) % 5 = 0 THEN ' ' || upper(substr(skill, 1, length(skill) - 1)) || 'x' WHEN length(skill) % 7 = 0 THEN 'unknown ' || reverse(skill) ELSE skill END AS raw FROM prof),
+  vk AS (SELECT lower(skill) AS key, min(skill) AS skill FROM p GROUP BY 1),
+  uw AS (SELECT DISTINCT lower(trim(raw)) AS w FROM ps WHERE lower(trim(raw)) NOT IN (SELECT key FROM vk)),
+  nk AS (SELECT w, key FROM (SELECT w, key, 1 - levenshtein(w, key) / greatest(length(w), length(key)) AS s FROM uw CROSS JOIN vk) WHERE s >= 0.75 QUALIFY row_number() OVER (PARTITION BY w ORDER BY s DESC, key DESC) = 1),
+  rp AS (SELECT DISTINCT profile_id, target_role, vk.skill FROM ps JOIN (SELECT key AS w, key FROM vk UNION ALL SELECT w, key FROM nk) m ON lower(trim(raw)) = m.w JOIN vk USING (key))
+"""
+
+
+def _recognised_sql(sql):
+    """The same statement over recognised profile skills."""
+    return _KNOWN + sql[len(P_SQL):].replace("FROM prof", "FROM rp").replace("JOIN prof ", "JOIN rp AS prof ")
+
+
+def spelled(t):
+    """Profile skills as people write them: some in capitals with a wrong letter, some unknown."""
+    n = F.length("skill")
+    raw = F.when(n % 5 == 0, F.concat(F.lit(" "), F.upper(F.substring("skill", F.lit(1), n - 1)), F.lit("x"))).when(
+        n % 7 == 0, F.concat(F.lit("unknown "), F.reverse("skill"))).otherwise(F.col("skill"))
+    return t.profile_skills.withColumn("skill", raw)
+
+
+def recognised_skills(t):
+    return L.recognised(spelled(t), t.posting_skills.select("skill"), 0.75, "edit")
+
+
+@query("cls_8_recognised_gap", _recognised_sql(_GAP) + """, mt AS (SELECT p.profile_id, string_agg(p.skill, '; ' ORDER BY p.skill) AS matched FROM rp p JOIN wn ON wn.role = p.target_role AND wn.skill = p.skill WHERE w >= 0.1 GROUP BY 1),
+  ms AS (SELECT profile_id, string_agg(skill, '; ' ORDER BY r2) AS missing FROM c15 GROUP BY 1)
+  SELECT pp.profile_id, pp.target_role, coalesce(matched, '') AS matched, missing FROM pp JOIN ms USING (profile_id) LEFT JOIN mt USING (profile_id)""")
+def _(t):
+    weights = M.max_normalised(M.role_skill_counts(t.posting_skills))
+    g = G.skill_gap(G.profile_lists(recognised_skills(t)), priorities(t), weights)
+    return g.select("profile_id", "target_role", F.array_join("matched", "; ").alias("matched"),
+                    F.array_join("missing.skill", "; ").alias("missing"))
+
+
+@query("cls_11_recognised_readiness", _KNOWN + _RS[len(P_SQL):] + """, ow AS (SELECT ms.profile_id, sum(mass) AS own, count(*) AS matched FROM ms JOIN rp ON rp.profile_id = ms.profile_id AND rp.skill = ms.skill GROUP BY 1),
+  tt AS (SELECT profile_id, sum(mass) AS total FROM ms GROUP BY 1)
+  SELECT pv.profile_id, pv.target_role AS role, coalesce(matched, 0) AS matched, round(CASE WHEN coalesce(total, 0) <> 0 THEN coalesce(own, 0) / total ELSE 0.0 END, 4) AS score
+  FROM pv LEFT JOIN tt USING (profile_id) LEFT JOIN ow USING (profile_id)""")
+def _(t):
+    masses = X.skill_vectors(posting_vectors(t), labelled_skills(t), DIM)
+    owned = recognised_skills(t).select("profile_id", "skill")
+    return X.readiness(vector_profiles(t), owned, masses, DIM).withColumn("score", R("score", 4))
+
+
+@query("cls_12_blended_roles", _KNOWN + _RS[len(P_SQL):] + f""", ce0 AS (SELECT label AS role, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM e) GROUP BY 1, 2), ce AS (SELECT role, list(m ORDER BY i) AS v FROM ce0 GROUP BY 1),
+  kn AS (SELECT profile_id, count(*) AS known FROM rp GROUP BY 1),
+  bl AS (SELECT a.profile_id, a.target_role, CASE WHEN known IS NULL THEN b.u WHEN b.u IS NULL THEN a.u ELSE list_transform(range(1, 65), lambda i: 0.4 * a.u[i] + 0.6 * b.u[i]) END AS u
+         FROM pv a LEFT JOIN kn USING (profile_id) LEFT JOIN un b ON b.vec_id = a.profile_id + 1 WHERE known IS NOT NULL OR b.u IS NOT NULL),
+  bs AS (SELECT profile_id, role, {COS.format(a='bl.u', b='ce.v')} AS sim FROM bl JOIN ce ON ce.role <> bl.target_role)
+  SELECT profile_id, role, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY sim DESC, role) AS INTEGER) AS rank, round(sim, 5) AS sim FROM bs QUALIFY rank <= 4""")
+def _(t):
+    known = recognised_skills(t).groupBy("profile_id").agg(F.count("*").alias("known"))
+    titles = t.embeddings.select((F.col("vec_id") - 1).alias("profile_id"), F.col("embedding").alias("title_vector"))
+    rows = vector_profiles(t).join(known, "profile_id", "left").join(titles, "profile_id", "left")
+    skills = F.when(F.col("known").isNotNull(), F.col("vector"))
+    rows = rows.withColumn("vector", G.profile_vector(skills, F.col("title_vector"))).where("vector IS NOT NULL")
+    cents = X.centroids(posting_vectors(t), "role", DIM)
+    return X.nearest(rows, cents, "profile_id", 4, "role", exclude="target_role").select(
+        "profile_id", "role", "rank", R("sim", 5).alias("sim"))
+
+
 @query("jon_11_gap_anti_join", _GAP + """SELECT pp.profile_id, pp.target_role, wn.skill FROM pp JOIN wn ON wn.role = pp.target_role AND w >= 0.5
   WHERE NOT EXISTS (SELECT 1 FROM prof x WHERE x.profile_id = pp.profile_id AND x.skill = wn.skill)""")
 def _(t):
