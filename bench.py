@@ -17,7 +17,8 @@ HEADLINE = [
     "agg_16_tfidf", "agg_18_top_skill_trend", "agg_22_centroids", "agg_33_entity_scores",
     "cls_2_dictionary_skills", "cls_6_profile_predictor", "cls_8_skill_gap", "cls_11_readiness",
     "flt_7_min_support", "fun_7_whitespace_tokens", "his_1_current_state", "prf_4_experience_records",
-    "smp_1_stratified_split",
+    "smp_1_stratified_split", "cls_9_course_recommendation", "agg_24_conditional_cooccurrence", "jon_7_fuzzy_native",
+    "prf_7_assembled_profile",
 ]
 
 

@@ -13,9 +13,10 @@ from talentgrid.operators.tables import hash_ranked, seeded_hash, top_n
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """Uniform number in (0, 1) from keys and a seed."""
-    bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11)
-    return (bits.cast("double") + 0.5) / float(1 << 53)
+    """Uniform number in (0, 1) from keys and a seed, by md5: the same in every engine."""
+    text = F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed)))
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / float(1 << 52)
 
 
 def stratified_split(df: DataFrame, key: str, by: str, train: float = 0.8, seed: int = 42) -> DataFrame:

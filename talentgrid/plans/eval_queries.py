@@ -10,8 +10,9 @@ from talentgrid.operators import market as M
 from talentgrid.operators import quality as Q
 from talentgrid.operators import splits as SPL
 from talentgrid.operators.quantiles import exact_quantiles, histogram
+from talentgrid.plans.market_queries import TFIDF_SQL
 from talentgrid.plans.registry import query
-from talentgrid.plans.vector_queries import role_demand, skill_map
+from talentgrid.plans.vector_queries import _MAP, role_demand, skill_map
 from talentgrid.plans.views import P_SQL
 
 R = lambda c, d=6: F.round(c, d)
@@ -234,7 +235,22 @@ def role_profiles(t):
     return t.roles.select(F.col("c_custkey").alias("profile_id"), "role")
 
 
-@query("smp_5_weighted_sample")
+def _uniform(seed, *keys):
+    """The draw of ``splits.uniform`` as SQL."""
+    text = " || '|' || ".join(f"{k}::VARCHAR" for k in keys)
+    return f"((('0x' || substr(md5({text} || '|{seed}'), 1, 13))::BIGINT + 0.5) / {float(1 << 52)!r})"
+
+
+_FREQ = TFIDF_SQL + """, rp AS (SELECT c_custkey AS profile_id, n_name AS role FROM customer JOIN nation ON c_nationkey = n_nationkey)
+"""
+_CHOICE = P_SQL + f""", sz AS (SELECT role, count(*)::DOUBLE AS w FROM jr GROUP BY 1),
+  cu AS (SELECT role, sum(w) OVER (ORDER BY role) AS upto, sum(w) OVER () AS total FROM sz),
+  dr AS (SELECT c_custkey AS demand_id, min(role) AS role FROM customer CROSS JOIN cu WHERE upto >= {_uniform(42, 'c_custkey')} * total GROUP BY 1)
+"""
+
+
+@query("smp_5_weighted_sample", _FREQ + f""", k AS (SELECT profile_id, rp.role, skill, row_number() OVER (PARTITION BY profile_id ORDER BY -ln({_uniform(42, 'profile_id', 'skill')}) / freq, skill) AS r FROM rp JOIN f USING (role))
+  SELECT profile_id, role, count(*)::INTEGER AS n, string_agg(skill, '; ' ORDER BY skill) AS owned FROM k WHERE r <= profile_id % 11 + 2 GROUP BY 1, 2""")
 def _(t):
     freq = M.raw_frequency(t.postings, t.posting_skills).select("role", "skill", "freq")
     size = F.col("profile_id") % 11 + 2
@@ -242,14 +258,19 @@ def _(t):
     return drawn.select("profile_id", "role", F.size("owned").alias("n"), F.array_join("owned", "; ").alias("owned"))
 
 
-@query("smp_6_weighted_choice")
+@query("smp_6_weighted_choice", _CHOICE + "SELECT demand_id, role FROM dr")
 def _(t):
     sizes = M.role_sizes(t.postings).withColumn("role_jobs", F.col("role_jobs").cast("double"))
     demands = t.customer.select(F.col("c_custkey").alias("demand_id"))
     return SPL.weighted_choice(demands, "demand_id", sizes, "role", "role_jobs")
 
 
-@query("smp_7_profile_targets")
+@query("smp_7_profile_targets", _FREQ + f""", k AS (SELECT profile_id, rp.role, skill, row_number() OVER (PARTITION BY profile_id ORDER BY
+     -ln({_uniform(42, 'profile_id', 'skill')}) / CASE WHEN {_uniform(44, 'profile_id')} < 0.8 THEN freq ELSE 1.0 END, skill) AS r FROM rp JOIN f USING (role)),
+  ow AS (SELECT profile_id, role, skill FROM k WHERE r <= floor({_uniform(43, 'profile_id')} * 11) + 2),
+  oa AS (SELECT profile_id, role, string_agg(skill, '; ' ORDER BY skill) AS owned FROM ow GROUP BY 1, 2),
+  go AS (SELECT oa.profile_id, count(*) AS n, max(1 - exp(-2 * scaled)) AS top FROM oa JOIN ti USING (role) WHERE NOT EXISTS (SELECT 1 FROM ow WHERE ow.profile_id = oa.profile_id AND ow.skill = ti.skill) GROUP BY 1)
+  SELECT profile_id, role, owned, coalesce(n, 0)::INTEGER AS targets, round(top, 6) AS top_target FROM oa LEFT JOIN go USING (profile_id)""")
 def _(t):
     freq = M.raw_frequency(t.postings, t.posting_skills).select("role", "skill", "freq")
     scaled = M.tfidf(t.postings, t.posting_skills).select("role", "skill", "scaled")
@@ -258,7 +279,14 @@ def _(t):
                     R(F.array_max(F.transform("targets", lambda x: x["target"]))).alias("top_target"))
 
 
-@query("smp_8_demand_rows")
+@query("smp_8_demand_rows", TFIDF_SQL + _MAP + f""", sz1 AS (SELECT role, count(*)::DOUBLE AS w FROM jr GROUP BY 1),
+  cu AS (SELECT role, sum(w) OVER (ORDER BY role) AS upto, sum(w) OVER () AS total FROM sz1),
+  dr AS (SELECT c_custkey AS demand_id, min(role) AS role FROM customer CROSS JOIN cu WHERE upto >= {_uniform(42, 'c_custkey')} * total GROUP BY 1),
+  rd AS (SELECT role, skill, round(scaled, 6) AS sc FROM ti QUALIFY row_number() OVER (PARTITION BY role ORDER BY sc DESC, skill) <= 15),
+  vl AS (SELECT DISTINCT role, course_id FROM rd JOIN sm USING (skill) JOIN c ON c.skill = equivalent),
+  nb AS (SELECT role, course_id, row_number() OVER (PARTITION BY role ORDER BY md5(course_id::VARCHAR || '|42'), course_id) AS number, count(*) OVER (PARTITION BY role) AS valid FROM vl),
+  sk AS (SELECT role, string_agg(skill, '; ' ORDER BY skill) AS skills FROM rd GROUP BY 1)
+  SELECT demand_id, dr.role, skills, course_id FROM dr JOIN nb ON nb.role = dr.role AND number = floor({_uniform(45, 'demand_id')} * valid) + 1 JOIN sk ON sk.role = dr.role""")
 def _(t):
     sizes = M.role_sizes(t.postings).withColumn("role_jobs", F.col("role_jobs").cast("double"))
     demands = t.customer.select(F.col("c_custkey").alias("demand_id"))
