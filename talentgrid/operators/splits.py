@@ -41,7 +41,8 @@ def three_way_split(df: DataFrame, key: str, seed: int = 42, hold_out: float = 0
 
 def document_split(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: int = 42,
                    val: float = 0.12, test: float = 0.08) -> DataFrame:
-    """Curated documents 80/12/8; silver and synthetic documents only train."""
+    """Curated documents 80/12/8; silver and synthetic documents only train. Documents of other sources belong to
+    no split and are left out, as the inventory asks."""
     curated = hash_ranked(docs.where(F.col(source) == "curated"), key, seed)
     n = F.col("group_rows")
     n_val = F.greatest(F.lit(1), F.bround(n * val).cast("long"))

@@ -134,4 +134,5 @@ def _(t):
     ev.write.parquet(src)
     counts = ST.period_counts(ST.file_stream(t.spark, src, ev.schema), "ts", "event_type")
     ST.materialise_counts(counts, out, ck)
-    return t.spark.read.parquet(out).select(F.date_format("period", "yyyy-MM-dd").alias("period"), "event_type", "n")
+    return ST.current_counts(t.spark, out, "event_type").select(
+        F.date_format("period", "yyyy-MM-dd").alias("period"), "event_type", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -44,7 +44,7 @@ def resume_enrichment(df: DataFrame, key: str, column: str, expression: Column,
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         todo = df
-    waiting = todo.count()
-    if waiting:
-        todo.withColumn(column, expression).write.mode("append").parquet(path)
-    return waiting
+    seen = Observation()
+    enriched = todo.observe(seen, F.count("*").alias("rows")).withColumn(column, expression)
+    enriched.write.mode("append").parquet(path)
+    return seen.get["rows"]

@@ -25,18 +25,25 @@ def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out:
 
 def period_counts(stream: DataFrame, at: str, *by: str, period: str = "1 day",
                   lateness: str = "1 day") -> DataFrame:
-    """Counts per tumbling window; rows later than ``lateness`` behind the newest are dropped."""
+    """Counts per tumbling window; rows later than ``lateness`` behind the newest of earlier batches are dropped."""
     timed = stream.withColumn("_ts", F.col(at).cast("timestamp")).withWatermark("_ts", lateness)
     return timed.groupBy(F.window("_ts", period).alias("w"), *by).agg(
         F.count("*").alias("n")).select(F.col("w.start").alias("period"), *by, "n")
 
 
 def materialise_counts(counts: DataFrame, out: str, checkpoint: str) -> None:
-    """Write the complete counts after each batch; the last write is the whole result."""
-    def save(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    """Write the counts that each batch changes to a part of its own; a repeated batch replaces its part.
+
+    State is kept only for periods that the watermark has not passed. ``current_counts`` reads the result."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
-        counts.writeStream.outputMode("complete").foreachBatch(save)
+        counts.writeStream.outputMode("update").foreachBatch(save)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def current_counts(spark: SparkSession, out: str, *by: str) -> DataFrame:
+    """The newest count of every period and group that ``materialise_counts`` wrote."""
+    return spark.read.parquet(out).groupBy("period", *by).agg(F.max_by("n", "batch").alias("n"))
