@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
 def settled(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet to the shared folder and read back; for rows with long values."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
