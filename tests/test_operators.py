@@ -261,3 +261,39 @@ def test_building_queries_starts_no_job(spark, small):
         jobs = len(context.statusTracker().getJobIdsForGroup("build")) - before
         context.setLocalProperty("spark.jobGroup.id", None)
         assert jobs <= 14, (name, jobs)  # at most a schema read for each table
+
+
+def test_recognised_skills_and_blended_vectors(spark):
+    from talentgrid.operators.gap import profile_vector
+    from talentgrid.operators.lookups import recognised
+
+    vocab = spark.createDataFrame([("Machine Learning",), ("Python",), ("SQL",)], "skill string")
+    rows = spark.createDataFrame([(1, " PYTHON\t"), (1, "python"), (2, "machine lerning"), (3, "AWS"), (4, None)], "profile_id int, skill string")
+    for metric in ("edit", "ratio"):
+        got = sorted(tuple(r) for r in recognised(rows, vocab, 0.75, metric).collect())
+        assert got == [(1, "Python"), (2, "Machine Learning")]
+    df = spark.createDataFrame([(1, [3.0, 0.0], [0.0, 2.0]), (2, [3.0, 0.0], None), (3, None, [0.0, 2.0]), (4, None, None)],
+                               "id int, a array<double>, b array<double>")
+    got = {r.id: r.v for r in df.select("id", profile_vector(F.col("a"), F.col("b")).alias("v")).collect()}
+    assert np.allclose(got[1], [0.4, 0.6], atol=1e-6) and got[2] == [3.0, 0.0] and got[3] == [0.0, 2.0] and got[4] is None
+
+
+def test_chi2_tail_is_that_of_the_library(spark):
+    import math
+
+    xs = [0.0, 0.01, 1.0, 3.84, 10.0, 40.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r.p for r in df.select(evaluate.chi2_tail(F.col("x")).alias("p")).collect()]
+    assert np.allclose(got, [math.erfc(math.sqrt(x / 2)) for x in xs], atol=1e-9)
+
+
+def test_streaming_counts_over_several_batches(spark, tmp_path):
+    from talentgrid.streaming import ingest as ST
+
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for days in (["2024-01-01", "2024-01-02"], ["2024-01-02", "2024-01-03"]):
+        spark.createDataFrame([(d, "a") for d in days], "ts string, kind string").write.mode("append").parquet(src)
+        counts = ST.period_counts(ST.file_stream(spark, src, "ts string, kind string"), "ts", "kind")
+        ST.materialise_counts(counts, out, ck)
+    got = {str(r.period)[:10]: r.n for r in ST.current_counts(spark, out, "kind").collect()}
+    assert got == {"2024-01-01": 1, "2024-01-02": 2, "2024-01-03": 1}
