@@ -32,21 +32,28 @@ _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _PLACES = 256 * np.arange(8)
 
 
-def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
-    """64-bit SimHash: a bit is set where over half the shingles' XXH64 values (seed 42) have it.
+def shingle_hashes(text: str | None, words_in_shingle: int) -> list[int]:
+    """XXH64 values (seed 42) of the shingles in order, repeats included.
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a shingle is ``words_in_shingle`` words
-    joined by spaces, repeats included; fewer words are one shingle; no words, and null, give 0.
+    joined by spaces; fewer words are one shingle; no words, and null, give none.
     """
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(words_in_shingle, len(words))
     starts = [0, *(ends[:len(words) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[i:j], SEED) for i, j in zip(starts, ends[k - 1:].tolist(), strict=True)]
+    return [digest(joined[i:j], SEED) for i, j in zip(starts, ends[k - 1:].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
+    """64-bit SimHash: a bit is set where over half the values of ``shingle_hashes`` have it; no words give 0."""
+    hashes = shingle_hashes(text, words_in_shingle)
+    if not hashes:
+        return 0
     ones = np.zeros((8, 8), np.int64)
     for i in range(0, len(hashes), _SLICE):
         octets = np.array(hashes[i:i + _SLICE], "<u8").view(np.uint8).reshape(-1, 8)
@@ -206,7 +213,12 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     of rows that repeat an id the one with the smallest hash of its text. Of rows that repeat an id and a text
     one stays. The decisions, a few numbers a row, are joined to the rows; texts move only in that join.
     """
-    members = cut(near_groups(docs, id_col, text_col).groupBy("root", "id", "h").agg(
+    return one_of_each(docs, near_groups(docs, id_col, text_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``drop_near`` keeps; ``groups``: ``id``, ``h`` and ``root`` of every row."""
+    members = cut(groups.groupBy("root", "id", "h").agg(
         F.count("*").alias("rows"))).withColumn("order", F.struct(F.col("id").isNull(), "id", "h"))
     keepers = members.groupBy("root").agg(F.min("order").alias("keep"), F.sum("rows").alias("size"))
     met = members.join(keepers.where("size > 1"), "root")
