@@ -287,6 +287,17 @@ def test_chi2_tail_is_that_of_the_library(spark):
     assert np.allclose(got, [math.erfc(math.sqrt(x / 2)) for x in xs], atol=1e-9)
 
 
+def test_chi2_tail_of_large_statistics(spark):
+    import math
+
+    xs = [3.9, 4.0, 4.1, 20.0, 187.0, 300.0, 350.0, 400.0, 1000.0, 1400.0, 1499.0, 1501.0, 1e5, 1e7, 1e300, math.inf]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r.p for r in df.select(evaluate.chi2_tail(F.col("x")).alias("p")).collect()]
+    assert np.allclose(got, [math.erfc(math.sqrt(x / 2)) for x in xs], rtol=1e-9, atol=1e-320)
+    t = spark.createDataFrame([(0, 9000, 4000, 0, 1922.8)], "both long, a_only long, b_only long, neither long, statistic double")
+    assert evaluate.with_decision(t).first().decision == "a better"
+
+
 def test_streaming_counts_over_several_batches(spark, tmp_path):
     from talentgrid.streaming import ingest as ST
 
