@@ -35,6 +35,27 @@ def test_cases(page, text):
     assert page_text(page) == text
 
 
+QUOTES = {
+    '<p class="x"">First</p><p class="y"">Second</p>': "First\n\nSecond",
+    "<p title=it's>Hello visible text, don't lose</p>": "Hello visible text, don't lose",
+    "<p a\"b>one</p><p 'c>two</p>": "one\n\ntwo",
+    '<p x="1"y=\'>\'>one<p x = ">" hidden>no<p x=a"b hidden>no<p x=>two': "one\n\ntwo",
+    '<p>one<a href="x>two</a> three': "onetwo three",
+    "<a href=/a/b/>one</a><br/><img alt='>'/>two": "one\ntwo",
+}
+
+
+@pytest.mark.parametrize("page,text", list(QUOTES.items()))
+def test_quotes_in_tags(page, text):
+    assert page_text(page) == text
+
+
+def test_many_quotes_take_linear_time():
+    assert page_text('<a x="' * 50_001) == "" and page_text("<a x='\"" * 50_001 + ">") == ""
+    assert page_text('<p x="y"">a</p>' * 20_000).count("a") == 20_000
+    assert page_text("<a " + "b   " * 50_000 + "=" * 50_000) == ""
+
+
 def test_deep_and_damaged_pages_take_linear_time():
     assert page_text("<div>" * 100_000 + "x") == "x"
     assert page_text("<ul><li>" * 20_000 + "x").strip().endswith("x")
