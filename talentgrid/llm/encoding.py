@@ -27,17 +27,24 @@ _PROBES = (" Foo.\nBar", "x!!", " 12a", "É,b34", " a-b_c", "  ", " $$$", "9\n8"
 
 
 class Encoder:
-    """Encodes texts; results equal ``Tokenizer.encode(text, add_special_tokens=False)``.
+    """Encodes texts; results equal ``Tokenizer.encode(text, add_special_tokens=False)``. ``None`` counts as the
+    empty text.
 
-    Strings of special tokens in a text are ordinary text. ``None`` counts as the empty text.
+    ``added``: strings of added tokens in a text get the tokens' ids, as the library does unless told otherwise;
+    such texts are encoded by the library itself. Without it they are ordinary text (``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, capacity: int = WORD_CACHE):
+    def __init__(self, path: str, capacity: int = WORD_CACHE, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokens = list(tokenizer.get_added_tokens_decoder().values()) if added else []
+        # a token that is sought in the normalized text may be in any text
+        contents = {"" if t.normalized and tokenizer.normalizer else t.content for t in tokens}
+        self.added = re.compile("|".join(map(re.escape, sorted(contents)))) if contents else None
+        self.library = tokenizer.encode
+        tokenizer.encode_special_tokens = not added
         self.normalizer = tokenizer.normalizer
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.tokenize = tokenizer.model.tokenize
@@ -89,6 +96,8 @@ class Encoder:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self.added is not None and self.added.search(text):
+            return array("I", self.library(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
         known = self.words
         if len(known) >= self.capacity:
@@ -110,5 +119,5 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One encoder for each tokenizer file and worker process."""
-    return Encoder(path)
+    """One encoder for each tokenizer file and worker process, with the library's defaults."""
+    return Encoder(path, added=True)

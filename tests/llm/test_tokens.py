@@ -95,3 +95,17 @@ def test_packing(spark, small, odd, none, sequence, windows):
     got = pack(odd, path, id_col="id", sequence=sequence).collect()
     assert sum(p.length for p in got) == sum(len(plain(r.text)) for r in odd.collect())
     assert pack(none, path, id_col="id").collect() == []
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_added_tokens_in_texts_are_those_of_the_library(spark, name):
+    path, unmodified = public_tokenizers.path(name), Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b <|endoftext|>", "<|ENDOFTEXT|> é", "<|endoftext|>", "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {i: unmodified.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    out = new_path(spark, "tokens")
+    write_tokens(docs, out, path, id_col="id")
+    assert {r.id: r.tokens[:-1] for r in read_tokens(spark, out).collect()} == want
+    for r in pack(docs, path, id_col="id").collect():
+        ids = np.array(want[r.id] + [2], "<u4")
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start:r.start + r.length].tobytes()))
