@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+FILLERS = 1 << 20  #: places of a table that cells from rows above may take; none is kept free beyond them
+COLUMNS = 1000  #: columns in which such cells are carried
 WIDEST = 60  #: cells up to this width are padded to their column's width
 DEEPEST_LIST = 20  #: list levels that still indent further
 
@@ -35,6 +37,8 @@ _BLOCKS = _PARAGRAPHS | frozenset(
     "html body address article aside center details dialog dir div dd dt figcaption footer form header hgroup"
     " legend li main nav section summary caption tr thead tbody tfoot search optgroup option".split())
 _CELLS = frozenset(("td", "th"))
+_ROW_GROUPS = frozenset(("thead", "tbody", "tfoot"))
+_COLLAPSING = _ROW_GROUPS | {"tr"}  #: ``visibility: collapse`` takes these away with all that they hold
 _ENDS_P = _BLOCKS - {"html", "body", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup"}
 #: opening the key ends these open elements, up to one of the second set
 _IMPLIED = {
@@ -55,15 +59,16 @@ _VALUE = r"""(?:"[^"]*"|'[^']*'|[^ \t\n\r\f"'>][^ \t\n\r\f>]*+)"""
 _TAG = re.compile(rf"""<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
-_UNSHOWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![-\w])visibility\s*:\s*(visible|initial|hidden|collapse|inherit|unset|revert)(?![-\w])", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "shown")
+    __slots__ = ("tag", "attrs", "children", "shown", "visible")
 
-    def __init__(self, tag: str, attrs: dict[str, str], shown: bool = True):
-        self.tag, self.attrs, self.shown, self.children = tag, attrs, shown, []
+    def __init__(self, tag: str, attrs: dict[str, str], shown: bool = True, visible: bool = True):
+        self.tag, self.attrs, self.shown, self.visible, self.children = tag, attrs, shown, visible, []
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -79,7 +84,17 @@ def _shown(tag: str, attrs: dict[str, str]) -> bool:
         return False
     if tag == "dialog" and "open" not in attrs:
         return False
-    return not ("style" in attrs and _UNSHOWN.search(attrs["style"]))
+    style = attrs.get("style", "")
+    if tag in _COLLAPSING and (_VISIBILITY.findall(style) or [""])[-1].lower() == "collapse":
+        return False
+    return not _UNSHOWN.search(style)
+
+
+def _visible(attrs: dict[str, str], inherited: bool) -> bool:
+    """The last declaration of visibility, else that of the parent."""
+    found = _VISIBILITY.findall(attrs["style"]) if "style" in attrs else []
+    value = found[-1].lower() if found else ""
+    return value in ("visible", "initial") or value not in ("hidden", "collapse") and inherited
 
 
 def build_tree(page: str) -> _Node:
@@ -161,7 +176,7 @@ def build_tree(page: str) -> _Node:
         if count["head"] > 0 and tag not in ("base", "link", "meta", "title", "style", "script", "noscript", "template", "head"):
             end({"head"}, {"html"})
         attrs = _attributes(source) if source else {}
-        node = _Node(tag, attrs, _shown(tag, attrs))
+        node = _Node(tag, attrs, _shown(tag, attrs), _visible(attrs, stack[-1].visible))
         stack[-1].children.append(node)
         if tag in _VOID:
             continue
@@ -231,32 +246,62 @@ class _Lines:
 
 class _Table:
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.groups: set[int] = set()
+
+
+def _spread(rows: list[list[tuple[list[str], int, int]]], groups: set[int]) -> list[list[tuple[list[str] | None, int]]]:
+    """Rows of (lines, columns); ``None`` stands in a column that a cell of a row above takes. A cell spans rows
+    up to the end of its row group, and all of them where ``rowspan`` is 0."""
+    open_until: dict[int, int] = {}
+    out, room = [], FILLERS
+    for r, row in enumerate(rows):
+        if r in groups:
+            open_until.clear()
+        cells, column, opened = [], 0, []
+        for lines, span, down in row:
+            while room and open_until.get(column, 0) > r:
+                room -= 1
+                cells.append((None, 1))
+                column += 1
+            cells.append((lines, span))
+            if down != 1:
+                opened += [(c, r + down if down else len(rows)) for c in range(column, min(column + span, COLUMNS))]
+            column += span
+        open_until.update(opened)
+        out.append(cells)
+    return out
 
 
-def _format(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+def _format(table: _Table) -> list[str]:
     """Cells in columns; a cell over several columns or of great width does not widen a column."""
+    rows = _spread(table.rows, table.groups)
     widths: dict[int, int] = defaultdict(int)
     for row in rows:
         column = 0
         for lines, span in row:
-            wide = max(map(len, lines), default=0)
+            wide = max(map(len, lines or ()), default=0)
             if span == 1 and wide <= WIDEST:
                 widths[column] = max(widths[column], wide)
             column += span
     out = []
     for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
+        for k in range(max((len(lines) for lines, _ in row if lines), default=0)):
             line, column, width = [], 0, 0
             for lines, span in row:
-                cell = lines[k] if k < len(lines) else ""
                 width = sum(widths[c] for c in range(column, column + span)) + 2 * (span - 1)
-                line.append(cell.ljust(width))
                 column += span
+                line.append((lines[k] if lines and k < len(lines) else "").ljust(width))
             out.append("  ".join(line).rstrip())
     return [x for x in out if x]
 
 
+def _spans(attrs: dict[str, str], name: str, least: int, most: int) -> int:
+    """The number of columns or rows of a cell; 1 where it is not a number of at least ``least``."""
+    value = attrs.get(name, "1").strip()
+    return min(int(value), most) if re.fullmatch(r"[0-9]{1,9}", value) and int(value) >= least else 1
+
+
 def _chosen(select: _Node) -> list[_Node]:
     """What a closed menu shows: the selected option, else the first."""
     options = [x for c in select.children if isinstance(c, _Node)
@@ -302,6 +347,8 @@ def render(root: _Node) -> str:
                 buffers.append(_Lines())
             elif tag == "tr" and tables:
                 tables[-1].rows.append([])
+            elif tag in _ROW_GROUPS and tables:
+                tables[-1].groups.add(len(tables[-1].rows))
             elif tag in ("ul", "ol", "menu", "dir"):
                 start = node.attrs.get("start", "")
                 lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
@@ -311,9 +358,10 @@ def render(root: _Node) -> str:
                     lists[-1][1] += 1
                 mark = f"{number}. " if numbered else "- "
                 work.append((False, _Node("#li", {"before": lines.prefix})))
+                mark = mark if node.visible else " " * len(mark)
                 lines.prefix = "  " * min(max(len(lists) - 1, 0), DEEPEST_LIST) + mark
                 work.append((False, node))
-                work.extend((True, c) for c in reversed(node.children))
+                work.extend((True, c) for c in reversed(node.children) if node.visible or isinstance(c, _Node))
                 continue
             elif tag in ("pre", "xmp", "listing", "textarea", "plaintext"):
                 pre += 1
@@ -325,20 +373,19 @@ def render(root: _Node) -> str:
             elif tag == "select" and "multiple" not in node.attrs and node.attrs.get("size", "1") == "1":
                 children = _chosen(node)
             work.append((False, node))
-            work.extend((True, c) for c in reversed(children))
+            work.extend((True, c) for c in reversed(children) if node.visible or isinstance(c, _Node))
             continue
         if tag == "#li":
             lines.prefix = node.attrs["before"]
         elif tag in _CELLS and tables and len(buffers) > 1:
             lines.end_line()
             buffers.pop()
-            span = node.attrs.get("colspan", "1")
-            tables[-1].rows[-1].append((lines.lines, min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,8}", span) else 1))
+            tables[-1].rows[-1].append((lines.lines, _spans(node.attrs, "colspan", 1, 1000), _spans(node.attrs, "rowspan", 0, 65534)))
         elif tag == "table":
             lines.end_line()
             buffers.pop()
             around = buffers[-1]
-            for line in lines.lines + _format(tables.pop().rows):  # captions and strays stand above the rows
+            for line in lines.lines + _format(tables.pop()):  # captions and strays stand above the rows
                 around.put(line)
             around.gap = True
         elif tag in ("ul", "ol", "menu", "dir"):
@@ -346,6 +393,8 @@ def render(root: _Node) -> str:
             lists.pop()
             lines.gap = lines.gap or not lists
         elif tag in _BLOCKS or tag == "textarea":
+            if tag in _ROW_GROUPS and tables:
+                tables[-1].groups.add(len(tables[-1].rows))
             if pre and tag in ("pre", "xmp", "listing", "textarea", "plaintext"):
                 pre -= 1
             lines.end_line()

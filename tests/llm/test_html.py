@@ -50,6 +50,35 @@ def test_quotes_in_tags(page, text):
     assert page_text(page) == text
 
 
+SPANS = {
+    "<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>": "ab  c\n    d\ne   f",
+    "<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>": "a  b  c\nd     e\nf     g",
+    "<table><tr><td rowspan=3 colspan=2>a<td>bb<tr><td>c<tr><td>d</table>": "a   bb\n    c\n    d",
+    "<table><thead><tr><th rowspan=9>a<th>b<tbody><tr><td>c<td>d</table>": "a  b\nc  d",
+    "<table><tr><td rowspan=2>a<td rowspan=1>b<td rowspan=2>c<tr><td>d</table>": "a  b  c\n   d",
+}
+VISIBILITY = {
+    '<div style="visibility:hidden">no<p style="visibility: visible">yes</p>no</div>': "yes",
+    '<p style="visibility:hidden">no<b style="visibility:visible">yes<i>too</i><i style="visibility:hidden">no</i></b>': "yestoo",
+    '<p style="display:none">no<b style="visibility:visible">no</b></p>yes': "yes",
+    '<p style="backface-visibility:hidden">yes': "yes",
+    '<ul style="visibility:collapse"><li>no<li style="visibility:visible">yes</ul>': "- yes",
+    '<table><tr style="visibility:collapse"><td style="visibility:visible">no<tr><td>yes</table>': "yes",
+    '<table><tr style="visibility:hidden"><td>no<td style="visibility:visible">yes<tr><td>a<td>b</table>': "   yes\na  b",
+}
+
+
+@pytest.mark.parametrize("page,text", [*SPANS.items(), *VISIBILITY.items()])
+def test_row_spans_and_visibility(page, text):
+    assert page_text(page) == text
+
+
+def test_row_spans_take_bounded_room():
+    page = "<table><tr>" + f"<td rowspan=65534>{'y' * 50}" * 1200 + "<tr><td>x" * 20_000
+    text = page_text(page)
+    assert text.count("x") == 20_000 and len(text) < 1 << 26
+
+
 def test_many_quotes_take_linear_time():
     assert page_text('<a x="' * 50_001) == "" and page_text("<a x='\"" * 50_001 + ">") == ""
     assert page_text('<p x="y"">a</p>' * 20_000).count("a") == 20_000
