@@ -17,7 +17,7 @@ from functools import lru_cache
 WORD_CACHE = 400_000  #: words, and pieces, kept by one worker; the cache starts anew beyond it
 _SPACE_IN_TEXT = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
-_PLAIN = re.compile(rf" ?[{_LETTERS}0-9{_SIGNS}]+(?:\n[{_LETTERS}0-9{_SIGNS}]+)*")
+PLAIN = re.compile(rf" ?[{_LETTERS}0-9{_SIGNS}]+(?:\n[{_LETTERS}0-9{_SIGNS}]+)*")
 #: Pieces of a plain word (pattern, lower-cased before): with the space before it, or without spaces.
 _PIECES = (
     (re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\n"), False),
@@ -43,7 +43,7 @@ class Encoder:
         # a token that is sought in the normalized text may be in any text
         contents = {"" if t.normalized and tokenizer.normalizer else t.content for t in tokens}
         self.added = re.compile("|".join(map(re.escape, sorted(contents)))) if contents else None
-        self.library = tokenizer.encode
+        self.tokenizer, self.library = tokenizer, tokenizer.encode
         tokenizer.encode_special_tokens = not added
         self.normalizer = tokenizer.normalizer
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
@@ -54,7 +54,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.rule = None
         for rule in _PIECES:
-            if all(self._plain(rule, p) == self._pieces(p) for p in _PROBES if _PLAIN.fullmatch(p)):
+            if all(self._plain(rule, p) == self._pieces(p) for p in _PROBES if PLAIN.fullmatch(p)):
                 self.rule = rule
                 break
 
@@ -66,9 +66,9 @@ class Encoder:
 
     def _plain(self, rule, word: str) -> list[str]:
         pattern, lower = rule
-        return [self._signs_of(p) for p in pattern.findall(word.lower() if lower else word)]
+        return [self.signs_of(p) for p in pattern.findall(word.lower() if lower else word)]
 
-    def _signs_of(self, piece: str) -> str:
+    def signs_of(self, piece: str) -> str:
         """The piece in the tokenizer's alphabet of bytes."""
         for c in piece:
             if ord(c) not in self.signs:
@@ -79,7 +79,7 @@ class Encoder:
         return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
 
     def _encode(self, text: str) -> bytes:
-        if self.rule is None or not _PLAIN.fullmatch(text):
+        if self.rule is None or not PLAIN.fullmatch(text):
             return b"".join(map(self._ids, self._pieces(text)))
         pattern, lower = self.rule
         out = []
@@ -88,7 +88,7 @@ class Encoder:
             if ids is None:
                 if len(self.pieces) >= self.capacity:
                     self.pieces.clear()
-                ids = self.pieces[piece] = self._ids(self._signs_of(piece))
+                ids = self.pieces[piece] = self._ids(self.signs_of(piece))
             out.append(ids)
         return b"".join(out)
 

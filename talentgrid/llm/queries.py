@@ -19,6 +19,7 @@ from talentgrid.llm.quality import held_out, score, train
 from talentgrid.llm.simhash import near_groups
 from talentgrid.llm.suffixes import drop_repeats
 from talentgrid.llm.tiling import contaminations
+from talentgrid.llm.token_counts import token_counts
 from talentgrid.llm.token_files import read_tokens, write_tokens
 from talentgrid.llm.warc import payload_digest, read_warc, with_revisits, write_warc
 from talentgrid.session import new_path
@@ -133,3 +134,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumnRenamed("id", "doc_id")
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumnRenamed("id", "doc_id")
