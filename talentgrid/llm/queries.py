@@ -21,6 +21,7 @@ from talentgrid.llm.suffixes import drop_repeats
 from talentgrid.llm.tiling import contaminations
 from talentgrid.llm.token_counts import token_counts
 from talentgrid.llm.token_files import read_tokens, write_tokens
+from talentgrid.llm.vector_codes import compress, oracle
 from talentgrid.llm.warc import payload_digest, read_warc, with_revisits, write_warc
 from talentgrid.session import new_path
 
@@ -140,3 +141,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumnRenamed("id", "doc_id")
+
+
+@query("op13_vector_codes", oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings")).drop("label").withColumnRenamed("id", "vec_id")
