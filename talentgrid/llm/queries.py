@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talentgrid.llm.alignment import align
 from talentgrid.llm.exact import exact_groups
 from talentgrid.llm.html import extract
 from talentgrid.llm.lines import drop_lines
@@ -137,6 +138,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumnRenamed("id", "doc_id")
 
 
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                  public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query("op12_token_counts")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
