@@ -13,6 +13,12 @@ BLOCK_ROWS = 512  #: lookup rows that one array holds
 HASH_HEX_DIGITS = 3  # 4096 uniform hash buckets per group
 
 
+def cut_plan(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, for results that several branches of a plan read."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equality join on ``keys`` in which null meets null; the keys appear once."""
     other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
@@ -92,8 +98,7 @@ def dense_index(df: DataFrame, *order: str, index: str = "idx") -> DataFrame:
     Range-partitioned, sorted inside partitions and checkpointed, so that partition contents are
     fixed; offsets come from one count per partition (as many rows as partitions).
     """
-    ensure_checkpoints(df.sparkSession)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    ranged = cut_plan(df.repartitionByRange(*order).sortWithinPartitions(*order))
     shift = F.lit(2).cast("long") * F.lit(1 << 32)
     numbered = ranged.withColumn("_p", F.spark_partition_id()).withColumn(
         "_i", F.monotonically_increasing_id()
