@@ -2,7 +2,7 @@
 
 Both tokenizer families used here break a text before every single space that stands between two
 non-space characters, so the ids of a text are the ids of such words in order. Words repeat, so each
-worker keeps the ids of the words that it has met, and only new words reach the tokenizer. A new word
+worker keeps the ids of the words that it has met; the new words of many texts are encoded together. A new word
 of plain Latin letters, digits and signs is cut into pieces by a pattern that is compared with the
 tokenizer's own splitting when the file is opened; every other word goes through the tokenizer's steps.
 """
@@ -15,6 +15,8 @@ from array import array
 from functools import lru_cache
 
 WORD_CACHE = 400_000  #: words, and pieces, kept by one worker; the cache starts anew beyond it
+SLICE = 4 << 20  #: characters of the texts whose words are brought together at once
+_BETWEEN = "\x00"  #: stands between plain words, which do not hold it
 _SPACE_IN_TEXT = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 PLAIN = re.compile(rf" ?[{_LETTERS}0-9{_SIGNS}]+(?:\n[{_LETTERS}0-9{_SIGNS}]+)*")
@@ -92,29 +94,72 @@ class Encoder:
             out.append(ids)
         return b"".join(out)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.added is not None and self.added.search(text):
-            return array("I", self.library(text, add_special_tokens=False).ids).tobytes()
-        first, *rest = text.split(" ")
-        known = self.words
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, given with the space before it, if any; plain words are cut by one call for all."""
+        out = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if PLAIN.fullmatch(w)] if self.rule else []
+        if plain:
+            pattern, lower = self.rule
+            joined = _BETWEEN.join([words[i] for i in plain])
+            found = re.findall(f"{pattern.pattern}|{_BETWEEN}", joined.lower() if lower else joined)
+            if len(self.pieces) >= self.capacity:
+                self.pieces.clear()
+            for piece in set(found).difference(self.pieces):
+                self.pieces[piece] = self._ids(self.signs_of(piece)) if piece != _BETWEEN else b""
+            ids, at = list(map(self.pieces.__getitem__, found)), 0
+            found.append(_BETWEEN)
+            for i in plain:
+                end = found.index(_BETWEEN, at)
+                out[i] = ids[at] if end == at + 1 else b"".join(ids[at:end])
+                at = end + 1
+        for i in set(range(len(words))).difference(plain):
+            out[i] = b"".join(map(self._ids, self._pieces(words[i])))
+        return out
+
+    def _encode_slice(self, texts: list[str]) -> list[bytes]:
+        known, heads, rests = self.words, [], []
+        for t in texts:
+            first, *rest = t.split(" ")
+            heads.append(first)
+            rests.append(rest)
         if len(known) >= self.capacity:
             known.clear()
-        plain = bool(first) and not first[-1].isspace()
-        for w in set(rest).difference(known):
-            if not w or w[0].isspace() or w[-1].isspace():
-                plain = False
+        new = set().union(*rests).difference(known)
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        new = list(new - odd)
+        known.update(zip(new, self.encode_words([" " + w for w in new])))
+        firsts = list(set(heads))
+        first_ids = dict(zip(firsts, self.encode_words(firsts)))
+        out = []
+        for t, first, rest in zip(texts, heads, rests):
+            if first and first[-1].isspace() or odd and not odd.isdisjoint(rest):
+                # beside other white space a space may belong to a longer piece
+                first, *rest = _SPACE_IN_TEXT.split(t)
+                out.append(self._encode(first) + b"".join(
+                    known[w] if w in known else self._encode(" " + w) for w in rest))
             else:
-                known[w] = self._encode(" " + w)
-        if plain:
-            return self._encode(first) + b"".join(map(known.__getitem__, rest))
-        # beside other white space a space may belong to a longer piece
-        first, *rest = _SPACE_IN_TEXT.split(text)
-        return self._encode(first) + b"".join(
-            known[w] if w in known else self._encode(" " + w) for w in rest
-        )
+                out.append(first_ids[first] + b"".join(map(known.__getitem__, rest)))
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out, at = [b""] * len(texts), 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and size < SLICE:
+                if (text := texts[at]) and self.added is not None and self.added.search(text):
+                    out[at] = array("I", self.library(text, add_special_tokens=False).ids).tobytes()
+                elif text:
+                    some.append(at)
+                    size += len(text)
+                at += 1
+            for i, ids in zip(some, self._encode_slice([texts[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of one text."""
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=4)

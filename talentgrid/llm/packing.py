@@ -70,12 +70,12 @@ class _Windows:
 
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end: bytes, size: int,
           most: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(tokenizer).encode
+    encode = encoder(tokenizer).encode_all
     windows, sequence = _Windows(size, most), TaskContext.get().partitionId() << 32
     rows: list[tuple] = []
     for given in batches:
-        for key, text in zip(given.column("id").to_pylist(), given.column("text"), strict=True):
-            ids = encode(text.as_py()) + end
+        for key, ids in zip(given.column("id").to_pylist(), encode(given.column("text").to_pylist()), strict=True):
+            ids += end
             total = len(ids) // 4
             whole = total - total % size
             for start in range(0, whole, size):

@@ -37,7 +37,7 @@ def list_column(values: list[bytes]) -> pa.Array:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: bytes) -> Iterator[pa.RecordBatch]:
     shard, start = TaskContext.get().partitionId(), 0
-    encode = encoder(path).encode
+    encode = encoder(path).encode_all
     rows: list[tuple[int | None, int, bytes]] = []
     size = 0
 
@@ -50,8 +50,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: bytes) -> Iterato
         ], ["id", "shard", "start_in_shard", "n_tokens", "tokens"])
 
     for given in batches:
-        for key, text in zip(given.column("id").to_pylist(), given.column("text"), strict=True):
-            ids = encode(text.as_py()) + end
+        for key, ids in zip(given.column("id").to_pylist(), encode(given.column("text").to_pylist()), strict=True):
+            ids += end
             rows.append((key, start, ids))
             start, size = start + len(ids) // 4, size + len(ids) // 4
             if size >= BATCH_TOKENS:
