@@ -14,7 +14,7 @@ import re
 from array import array
 from functools import lru_cache
 
-WORD_CACHE = 400_000  #: words, and pieces, kept by one worker; the cache starts anew beyond it
+WORD_CACHE = 600_000  #: words, and pieces, kept by one worker; beyond it only those met again stay
 SLICE = 4 << 20  #: characters of the texts whose words are brought together at once
 _BETWEEN = "\x00"  #: stands between plain words, which do not hold it
 _SPACE_IN_TEXT = re.compile(r"(?<=\S) (?=\S)")
@@ -28,6 +28,17 @@ _PIECES = (
 _PROBES = (" Foo.\nBar", "x!!", " 12a", "É,b34", " a-b_c", "  ", " $$$", "9\n8", " ÀÖØÞß", "A.\n.B")
 
 
+class _Signs(dict):
+    """Characters in the tokenizer's alphabet of bytes, filled as they are met."""
+
+    def __init__(self, split):
+        self.split = split
+
+    def __missing__(self, c: int) -> str:
+        self[c] = "".join(p for p, _ in self.split(chr(c)))
+        return self[c]
+
+
 class Encoder:
     """Encodes texts; results equal ``Tokenizer.encode(text, add_special_tokens=False)``. ``None`` counts as the
     empty text.
@@ -51,7 +62,7 @@ class Encoder:
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.tokenize = tokenizer.model.tokenize
         self.capacity = capacity
-        self.signs: dict[int, str] = {}
+        self.signs = _Signs(self.split)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.rule = None
@@ -72,9 +83,6 @@ class Encoder:
 
     def signs_of(self, piece: str) -> str:
         """The piece in the tokenizer's alphabet of bytes."""
-        for c in piece:
-            if ord(c) not in self.signs:
-                self.signs[ord(c)] = "".join(p for p, _ in self.split(c))
         return piece.translate(self.signs)
 
     def _ids(self, piece: str) -> bytes:
@@ -102,11 +110,14 @@ class Encoder:
             pattern, lower = self.rule
             joined = _BETWEEN.join([words[i] for i in plain])
             found = re.findall(f"{pattern.pattern}|{_BETWEEN}", joined.lower() if lower else joined)
+            seen = set(found)
             if len(self.pieces) >= self.capacity:
-                self.pieces.clear()
-            for piece in set(found).difference(self.pieces):
-                self.pieces[piece] = self._ids(self.signs_of(piece)) if piece != _BETWEEN else b""
-            ids, at = list(map(self.pieces.__getitem__, found)), 0
+                self.pieces = {p: self.pieces[p] for p in seen.intersection(self.pieces)}
+            pieces, tokenize, signs = self.pieces, self.tokenize, self.signs
+            pieces[_BETWEEN] = b""
+            for piece in seen.difference(pieces):
+                pieces[piece] = array("I", [t.id for t in tokenize(piece.translate(signs))]).tobytes()
+            ids, at = list(map(pieces.__getitem__, found)), 0
             found.append(_BETWEEN)
             for i in plain:
                 end = found.index(_BETWEEN, at)
@@ -122,9 +133,10 @@ class Encoder:
             first, *rest = t.split(" ")
             heads.append(first)
             rests.append(rest)
-        if len(known) >= self.capacity:
-            known.clear()
-        new = set().union(*rests).difference(known)
+        seen = set().union(*rests)
+        if len(known) >= self.capacity:  # words that are met again stay
+            known = self.words = {w: known[w] for w in seen.intersection(known)}
+        new = seen.difference(known)
         odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
         new = list(new - odd)
         known.update(zip(new, self.encode_words([" " + w for w in new])))

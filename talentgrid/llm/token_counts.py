@@ -25,7 +25,7 @@ from talentgrid.llm.encoding import PLAIN, Encoder
 from talentgrid.llm.shared import picked
 
 LIMIT = 512
-KNOWN = 400_000  #: words, and pre-tokens, whose counts a worker keeps; it starts anew beyond that
+KNOWN = 400_000  #: words, and pre-tokens, whose counts a worker keeps; beyond it only words met again stay
 SYMBOLS = 1 << 18  #: symbols that are merged at once; a longer pre-token is merged alone
 SLICE = 4 << 20  #: characters of the texts whose words are brought together at once
 _NONE = np.int32(2**31 - 1)
@@ -228,11 +228,12 @@ class Counter:
             head, *rest = t.split(" ")
             heads.append(head)
             rests.append(rest)
-        if len(self.words) > self.room:
-            self.words.clear()
+        seen = set().union(*rests)
+        if len(self.words) > self.room:  # words that are met again stay
+            self.words = {w: self.words[w] for w in seen.intersection(self.words)}
         if len(self.heads) > self.room:
             self.heads.clear()
-        new = set().union(*rests).difference(self.words)
+        new = seen.difference(self.words)
         odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
         new -= odd
         for i, t in enumerate(texts):

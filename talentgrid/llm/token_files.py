@@ -61,6 +61,24 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: bytes) -> Iterato
         yield batch()
 
 
+def _range_of(ids: DataFrame, ranges: int) -> Column:
+    """The range of ``id``, of about ``ranges`` ranges of equal size; bounds come from the ids alone, so no text is
+    read to find them. Null ids are in the first range, equal ids in one. A few bounds are compared with each row:
+    the last of each group of bounds, then the group."""
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    found = ids.agg(F.percentile_approx("id", shares, 10 * ranges).alias("b")).first().b or []
+    group = int(len(found) ** 0.5) + 1
+
+    def below(bounds: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+
+    if not found or ranges < 2:
+        return F.lit(0)
+    above = F.size(F.filter(below(found[group - 1::group] or [2**63 - 1]), lambda b: b < F.col("id")))
+    inside = F.size(F.filter(F.slice(below(found), above * group + 1, F.lit(group)), lambda b: b < F.col("id")))
+    return F.when(F.col("id").isNull(), 0).otherwise(above * group + inside)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id",
                  text_col: str = "text", encoding: str = "dictionary", row_group_bytes: int = 32 << 20,
                  page_bytes: int = 1 << 20, page_rows: int = 2000) -> None:
@@ -73,9 +91,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
     end = np.array([end_id], "<u4").tobytes()
-    order = ["id", F.xxhash64("text")]
     rows = picked(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionById(ranges, _range_of(rows.select("id"), ranges))
+    ranged.sortWithinPartitions("id", F.xxhash64("text")).mapInArrow(
         lambda it: _encode(it, tokenizer, end), SCHEMA
     ).write.options(**{
         "compression": "zstd", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes,
