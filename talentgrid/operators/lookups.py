@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from talentgrid import fixed_values as V
 from talentgrid.functions.lists import bind, strip
+from talentgrid.operators.similar import best_keys
 from talentgrid.operators.tables import in_blocks, join_same, with_blocks
 
 
@@ -81,62 +82,27 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def _char_tokens(s: Column) -> Column:
-    """Characters tagged with their occurrence number, rarest kind (highest number) first."""
-    def toks(chars: Column) -> Column:
-        return F.sort_array(F.transform(chars, lambda c, i: F.concat(
-            F.lpad(F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string"), 10, "0"),
-            c)), asc=False)
-
-    return bind(F.split(s, ""), toks)
-
-
-def _prefix(tokens: Column, min_share: float) -> Column:
-    """Leading tokens of a string. Two strings whose similarity reaches the cutoff share at least
-    ``min_share`` of either one's tokens, hence at least one among the first
-    n − ⌈min_share·n⌉ + 1 of each (prefix filtering): joining on these tokens loses no pair."""
-    n = F.size(tokens)
-    keep = n - F.ceil(n * min_share - 1e-9) + 1
-    return F.slice(tokens, F.lit(1), F.greatest(F.lit(1), keep).cast("int"))
-
-
-def fuzzy_candidates(words: DataFrame, vocab: DataFrame, min_share: float, enough) -> DataFrame:
-    """Distinct (word, key) pairs that can reach the similarity, without comparing all pairs.
-
-    ``enough(shared, word_length, key_length)`` is the exact test on shared characters, an upper
-    bound of either similarity; it runs in the JVM before any scoring.
-    """
-    def prepared(df: DataFrame, col: str, toks: str) -> DataFrame:
-        return df.select(col).distinct().where(F.col(col) != "").withColumn(
-            toks, _char_tokens(F.col(col))
-        ).withColumn("_t", F.explode(_prefix(F.col(toks), min_share)))
-
-    a, b = prepared(words, "word", "_a"), prepared(vocab, "key", "_b")
-    w, k = F.length("word"), F.length("key")
-    near = (k >= w * min_share - 1e-9) & (w >= k * min_share - 1e-9)
-    shared = F.size(F.array_intersect("_a", "_b"))
-    # keep a pair only at its first common leading token, so no distinct is needed
-    first = F.get(F.array_intersect(_prefix(F.col("_a"), min_share), _prefix(F.col("_b"), min_share)), F.lit(0))
-    return a.join(b, "_t").where(near & enough(shared, w, k) & (first == F.col("_t"))).select("word", "key")
+    """Characters tagged with their occurrence number."""
+    return bind(F.split(s, ""), lambda chars: F.transform(chars, lambda c, i: F.concat(
+        F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string"), c)))
 
 
 def nearest_key(words: DataFrame, vocab: DataFrame, cutoff: float = 0.6,
                 metric: str = "ratio") -> DataFrame:
     """Best vocabulary key per word with similarity ≥ cutoff (ties: the greater key).
 
-    ``metric``: ``ratio`` (matching-block ratio) or ``edit`` (native Levenshtein similarity).
+    ``metric``: ``ratio`` (matching-block ratio) or ``edit`` (native Levenshtein similarity). Pairs are found by
+    rare pieces (``similar``); for the ratio they must share enough characters before they are scored.
     """
-    if metric == "ratio":
-        pairs = fuzzy_candidates(
-            words, vocab, cutoff / (2 - cutoff), lambda n, w, k: 2 * n >= cutoff * (w + k) - 1e-9)
-        n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        scored = pairs.repartition(n, "word").withColumn("score", sequence_ratio("key", "word"))
-    else:
-        pairs = fuzzy_candidates(
-            words, vocab, cutoff, lambda n, w, k: n >= cutoff * F.greatest(w, k) - 1e-9)
-        scored = pairs.withColumn("score", edit_similarity(F.col("word"), F.col("key")))
-    best = F.max(F.struct("score", "key")).alias("b")
-    return scored.where(F.col("score") >= cutoff).groupBy("word").agg(best).select(
-        "word", F.col("b.key").alias("key"), F.col("b.score").alias("score"))
+    def edit(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("score", edit_similarity(F.col("word"), F.col("key")))
+
+    def ratio(pairs: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect(_char_tokens(F.col("word")), _char_tokens(F.col("key"))))
+        near = pairs.where(2 * shared >= cutoff * (F.length("word") + F.length("key")) - 1e-9)
+        return near.withColumn("score", sequence_ratio("key", "word"))
+
+    return best_keys(words, vocab, cutoff, metric, ratio if metric == "ratio" else edit)
 
 
 def recognise(words: DataFrame, vocab: DataFrame, cutoff: float = 0.75, metric: str = "ratio") -> DataFrame:
