@@ -14,6 +14,7 @@ from talentgrid.plans.market_queries import TFIDF_SQL
 from talentgrid.plans.registry import query
 from talentgrid.plans.vector_queries import _MAP, role_demand, skill_map
 from talentgrid.plans.views import P_SQL
+from talentgrid.session import new_path
 
 R = lambda c, d=6: F.round(c, d)
 
@@ -396,6 +397,17 @@ def _(t):
     return _printed(H.current_state(history_log(t), _GROUPS))
 
 
+@query("his_1_maintained_state", _LOG + f"SELECT * REPLACE ({_TIMES}) FROM cs")
+def _(t):
+    log = history_log(t).withColumn("part", F.pmod(F.crc32("id"), F.lit(3)))
+    state = H.MaintainedState(t.spark, new_path(t.spark, "history"), _GROUPS)
+    # deletions of one part come before its entries, the stages of the others in two updates
+    for rows in ("part = 0 AND stage = 'deleted'", "part > 0 AND stage = 'extract'",
+                 "part = 0 AND stage <> 'deleted'", "part > 0 AND stage <> 'extract'"):
+        state.update(log.where(rows).drop("part"))
+    return _printed(state.current())
+
+
 @query("top_5_history_listing", _LOG + f"SELECT id, {_TIMES} FROM cs WHERE extract_user_id = 7 ORDER BY cs.created_at DESC")
 def _(t):
     state = H.current_state(history_log(t), _GROUPS)

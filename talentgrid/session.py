@@ -56,3 +56,14 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def finished_parts(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose write has finished, in any store that Spark writes to."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = folder(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(root):
+        return []
+    parts = [s.getPath() for s in fs.listStatus(root)]
+    return sorted(p.getName() for p in parts if fs.exists(folder(p, "_SUCCESS")))

@@ -296,15 +296,3 @@ def test_chi2_tail_of_large_statistics(spark):
     assert np.allclose(got, [math.erfc(math.sqrt(x / 2)) for x in xs], rtol=1e-9, atol=1e-320)
     t = spark.createDataFrame([(0, 9000, 4000, 0, 1922.8)], "both long, a_only long, b_only long, neither long, statistic double")
     assert evaluate.with_decision(t).first().decision == "a better"
-
-
-def test_streaming_counts_over_several_batches(spark, tmp_path):
-    from talentgrid.streaming import ingest as ST
-
-    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "state"))
-    for days in (["2024-01-01", "2024-01-02"], ["2024-01-02", "2024-01-03"]):
-        spark.createDataFrame([(d, "a") for d in days], "ts string, kind string").write.mode("append").parquet(src)
-        counts = ST.period_counts(ST.file_stream(spark, src, "ts string, kind string"), "ts", "kind")
-        ST.materialise_counts(counts, out, ck)
-    got = {str(r.period)[:10]: r.n for r in ST.current_counts(spark, out, "kind").collect()}
-    assert got == {"2024-01-01": 1, "2024-01-02": 2, "2024-01-03": 1}
