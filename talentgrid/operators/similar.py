@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from talentgrid.operators.tables import cut_plan
 
 WIDTHS = (4, 3, 2, 1)  #: characters of a piece
-STEPS = (0.9, 0.8, 0.75, 0.68)  #: cutoffs that are tried before the wanted one
+STEPS = (0.8, 0.75, 0.68)  #: cutoffs that are tried before the wanted one
 _EPS = 1e-9
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentgrid.functions import numeric
+from talentgrid.operators import cooccurrence as CO
 from talentgrid.operators import gap as G
 from talentgrid.operators import lookups as L
 from talentgrid.operators import market as M
@@ -392,7 +393,7 @@ def _(t):
   SELECT g.profile_id, g.target_role, g.skill, round(k / n, 6) AS cooccurrence FROM g JOIN tot USING (profile_id)
   WHERE NOT EXISTS (SELECT 1 FROM prof x WHERE x.profile_id = g.profile_id AND x.skill = g.skill)""")
 def _(t):
-    return G.conditional_cooccurrence(t.profile_skills, t.posting_skills).withColumn("cooccurrence", R("cooccurrence"))
+    return CO.conditional_cooccurrence(t.profile_skills, t.posting_skills).withColumn("cooccurrence", R("cooccurrence"))
 
 
 @query("agg_25_four_signal_priority", P_SQL + """, hit AS (SELECT DISTINCT x.profile_id, x.target_role, y.job_id FROM prof x JOIN p y ON y.role = x.target_role AND y.skill = x.skill),
@@ -408,6 +409,6 @@ def _(t):
 def _(t):
     counts = M.role_skill_counts(t.posting_skills)
     return G.four_signal_priority(
-        G.conditional_cooccurrence(t.profile_skills, t.posting_skills), M.raw_frequency(t.postings, t.posting_skills),
+        CO.conditional_cooccurrence(t.profile_skills, t.posting_skills), M.raw_frequency(t.postings, t.posting_skills),
         M.versatility(counts, t.postings), M.skill_trend(t.postings, t.posting_skills),
     ).withColumn("priority", R("priority"))
