@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from talentgrid.session import finished_parts
+
 
 def write_csv(df: DataFrame, path: str, **options) -> None:
     """Tabular text sink with a header and no index; text columns are quoted and escaped."""
@@ -48,3 +53,47 @@ def resume_enrichment(df: DataFrame, key: str, column: str, expression: Column,
     enriched = todo.observe(seen, F.count("*").alias("rows")).withColumn(column, expression)
     enriched.write.mode("append").parquet(path)
     return seen.get["rows"]
+
+
+def _attempted(batches: Iterator[pa.RecordBatch], function: Callable, source: str, column: str,
+               attempts: int) -> Iterator[pa.RecordBatch]:
+    for given in batches:
+        values, errors = [], []
+        for value in given.column(source).to_pylist():
+            out, error = None, None
+            for _ in range(attempts):
+                try:
+                    out, error = function(value), None
+                    break
+                except Exception as exc:  # any failure of a row is a result of that row
+                    error = f"{type(exc).__name__}: {exc}"
+            values.append(value if out is None else out)
+            errors.append(error)
+        yield pa.RecordBatch.from_arrays(
+            [*given.columns, pa.array(values, pa.string()), pa.array(errors, pa.string())],
+            [*given.schema.names, column, f"{column}_error"])
+
+
+def enrich_by_attempts(df: DataFrame, key: str, source: str, column: str, function: Callable[[str], str | None],
+                       path: str, attempts: int = 2, batches: int = 16) -> int:
+    """Enrich the rows of one delivery with a function that may fail; returns how many batches this run wrote.
+
+    ``function`` gets the text of ``source``. A row that fails ``attempts`` times keeps its source text, with the
+    cause in ``<column>_error``; so does, without a cause, a row for which it returns nothing. Rows are dealt to
+    batches by a hash of the key, and a batch is one folder. Finished folders are the ledger of a restart: they are
+    neither read nor run again, and a folder without the mark of a finished write is written anew, so a crash at any
+    point leaves one result a row. Rows of a null key are a batch's rows like others; no rows give empty folders.
+    """
+    done = set(finished_parts(df.sparkSession, path))
+    rows = df.withColumn(source, F.col(source).cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    written = 0
+    for n in range(batches):
+        if f"batch={n}" in done:
+            continue
+        part = rows.where(F.pmod(F.xxhash64(key), F.lit(batches)) == n)
+        part.mapInArrow(lambda it: _attempted(it, function, source, column, attempts),
+                        f"{schema}, `{column}` string, `{column}_error` string").write.mode("overwrite").parquet(
+            f"{path}/batch={n}")
+        written += 1
+    return written
