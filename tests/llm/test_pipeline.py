@@ -33,9 +33,9 @@ def test_stages_take_odd_rows(spark, odd, small):
 
 
 def test_sql_of_the_queries(spark, small):
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     for name, sql in SQL.items():
         result = con.execute(sql)
