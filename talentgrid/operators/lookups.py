@@ -12,8 +12,9 @@ from pyspark.sql.functions import pandas_udf
 
 from talentgrid import fixed_values as V
 from talentgrid.functions.lists import bind, strip
+from talentgrid.operators.containment import contained
 from talentgrid.operators.similar import best_keys
-from talentgrid.operators.tables import in_blocks, join_same, with_blocks
+from talentgrid.operators.tables import join_same
 
 
 def synonyms(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
@@ -37,28 +38,37 @@ def courses_for_role(roles: DataFrame, courses: DataFrame) -> DataFrame:
     exact = roles.join(cats, roles.role == cats.category).select("role", "category")
     rest = roles.join(exact.select("role"), "role", "left_anti").withColumn(
         "_word", F.lower(F.substring_index("role", " ", 1)))
-    # distinct categories are few; they ride along as an array instead of a non-equi join
-    blocks, n = in_blocks(cats, "category", "category")
-    loose = with_blocks(rest, blocks, n).select(
-        "role", F.explode(F.filter("rows", lambda r: F.contains(F.lower(r["category"]), F.col("_word")))).alias("r")
-    ).select("role", "r.category")
-    return exact.unionByName(loose).join(courses, "category")
+    named = cats.select(F.col("category").alias("id"), F.lower("category").alias("text"))
+    words = rest.select(F.col("_word").alias("key"))
+    loose = contained(named, words).join(rest, F.col("key") == F.col("_word")).select("role", F.col("id").alias("category"))
+    # every category contains the empty word
+    every = rest.where("_word = ''").select("role", F.lit(True).alias("_all")).join(
+        cats.where("category IS NOT NULL").withColumn("_all", F.lit(True)), "_all").select("role", "category")
+    return exact.unionByName(loose).unionByName(every).join(courses, "category")
 
 
 def containment_category(df: DataFrame, text: str, taxonomy: DataFrame,
                          default: str = V.DEFAULT_CATEGORY) -> DataFrame:
     """Category of the exact key, else of the first key (by order) that contains the text or is
     contained in it, else the default. ``taxonomy``: key, key_order, category."""
-    blocks, n = in_blocks(taxonomy, "key", "key_order", "key", "category")
     low = df.withColumn("_t", F.lower(strip(F.col(text))))
-    rated = F.transform("rows", lambda r: F.struct(
-        F.when(r["key"] == F.col("_t"), 0).when(
-            F.contains(F.col("_t"), r["key"]) | F.contains(r["key"], F.col("_t")), 1).otherwise(2).alias("q"),
-        r["key_order"].alias("o"), r["category"].alias("category")))
     values = low.select("_t").where("_t IS NOT NULL").distinct()
-    best = with_blocks(values, blocks, n).groupBy("_t").agg(F.min(F.array_min(rated)).alias("_b"))
+    known = taxonomy.where("key IS NOT NULL")
+    entry = F.struct(F.when(F.col("key") == F.col("_t"), 0).otherwise(1).alias("q"), F.col("key_order").alias("o"),
+                     F.col("category").alias("category"))
+    inside = contained(values.select(F.col("_t").alias("id"), F.col("_t").alias("text")), known).withColumnRenamed("id", "_t")
+    around = contained(known.select(F.col("key").alias("id"), F.col("key").alias("text")).distinct(),
+                       values.select(F.col("_t").alias("key"))).select(F.col("key").alias("_t"), F.col("id").alias("key"))
+    met = inside.unionByName(around).distinct().join(known, "key").groupBy("_t").agg(F.min(entry).alias("_b"))
+    # the empty text is in every key, the empty key in every text: one entry each, the first
+    lead = F.min(F.struct(F.lit(1).alias("q"), F.col("key_order").alias("o"), F.col("category").alias("category")))
+    blank_key = known.where("key = ''").agg(lead).scalar()
+    blank_text = known.agg(F.min(F.struct(F.when(F.col("key") == "", 0).otherwise(1).alias("q"),
+                                          F.col("key_order").alias("o"), F.col("category").alias("category")))).scalar()
+    best = values.join(met, "_t", "left").withColumn(
+        "_b", F.when(F.col("_t") == "", blank_text).otherwise(F.least("_b", blank_key)))
     return join_same(low, best, ["_t"], "left").withColumn(
-        "category", F.when(F.col("_b.q") < 2, F.col("_b.category")).otherwise(default)).drop("_b", "_t")
+        "category", F.when(F.col("_b").isNotNull(), F.col("_b.category")).otherwise(default)).drop("_b", "_t")
 
 
 # --- fuzzy keys -------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talentgrid import fixed_values as V
 from talentgrid.functions.text import norm_text
-from talentgrid.operators.tables import in_blocks, with_blocks
+from talentgrid.operators.containment import contained
 
 
 def rules_table(spark, rules: dict[str, list[str]]) -> DataFrame:
@@ -28,23 +28,35 @@ def _role_rows(rules: DataFrame) -> DataFrame:
 def keyword_hits(df: DataFrame, fields: list[str], rules: DataFrame) -> DataFrame:
     """Input rows with ``hits``: per role the first keyword contained in each field (null if none).
 
-    A raw substring test on lowercase text. Different texts are tested against the rules in blocks of
-    roles, and what they hit is joined back by the texts' digest: one row for each input row at any size.
+    A raw substring test on lowercase text. Different texts meet the keywords by an index of rare grams
+    (``contained``); hits come back to the rows by the texts' digest: one row for each input row at any size. The
+    empty keyword is in every text that is not null.
     """
-    blocks, n = in_blocks(_role_rows(rules), "role", "role_order", "role", "keywords")
+    roles = _role_rows(rules)
+    every = roles.agg(F.array_sort(F.collect_list(F.struct("role_order", "role", "keywords")))).scalar()
     texts = df.withColumn("_texts", F.array(*[norm_text(F.col(f)) for f in fields]))
     texts = texts.withColumn("_d", F.sha2(F.to_json(F.struct("_texts")), 256))
     values = texts.select("_d", "_texts").dropDuplicates(["_d"])
+    places = values.select("_d", F.posexplode("_texts").alias("i", "text")).select(
+        F.struct("_d", "i").alias("id"), "text").where("text IS NOT NULL")
+    words = roles.select(F.explode("keywords").alias("key")).distinct()
+    found = contained(places, words).groupBy(F.col("id._d").alias("_d")).agg(
+        F.collect_set(F.struct(F.col("id.i").alias("i"), "key")).alias("_found"))  # bounded by the keywords
 
     def first(role: Column, i: int) -> Column:
-        return F.get(F.filter(role["keywords"], lambda k: F.contains(F.get("_texts", F.lit(i)), k)), F.lit(0))
+        word = F.filter(role["keywords"], lambda k: F.array_contains(F.get("_in", F.lit(i)), k) | (
+            (k == "") & F.get("_texts", F.lit(i)).isNotNull()))
+        return F.get(word, F.lit(0))
 
-    hits = F.transform("rows", lambda r: F.struct(
+    def inside(i: int) -> Column:
+        return F.transform(F.filter("_found", lambda x: x["i"] == i), lambda x: x["key"])
+
+    held = F.array(*[F.coalesce(inside(i), F.array().cast("array<string>")) for i in range(len(fields))])
+    hits = F.transform("_roles", lambda r: F.struct(
         r["role_order"].alias("role_order"), r["role"].alias("role"),
         F.array(*[first(r, i) for i in range(len(fields))]).alias("words")))
-    found = with_blocks(values, blocks, n).select("_d", hits.alias("hits")).groupBy("_d").agg(
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # bounded by the roles
-    return texts.join(found, "_d", "left").drop("_d", "_texts")
+    return texts.join(found, "_d", "left").withColumn("_in", held).withColumn("_roles", every).withColumn(
+        "hits", hits).drop("_d", "_texts", "_found", "_in", "_roles")
 
 
 def classify_roles(df: DataFrame, row_id: str, rules: DataFrame,

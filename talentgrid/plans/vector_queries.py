@@ -9,6 +9,7 @@ from talentgrid.operators import cooccurrence as CO
 from talentgrid.operators import gap as G
 from talentgrid.operators import lookups as L
 from talentgrid.operators import market as M
+from talentgrid.operators import pivots as PV
 from talentgrid.operators import vectors as X
 from talentgrid.operators.tables import best_row, top_n
 from talentgrid.plans.market_queries import TFIDF_SQL
@@ -65,7 +66,7 @@ _PAIR_SQL = VEC_SQL + f", s AS (SELECT e.vec_id, e.label AS own, ce.label AS rol
   SELECT vec_id, role, round(sim, 5) AS sim FROM m WHERE sim >= 0.6 OR (top < 0.6 AND rn = 1 AND sim > 0.3)""")
 def _(t):
     cents = label_centroids(t).withColumnRenamed("label", "role")
-    return X.threshold_links(t.embeddings, cents, "vec_id", "role", left_vec="embedding").select(
+    return PV.threshold_links(t.embeddings, cents, "vec_id", "role", left_vec="embedding").select(
         "vec_id", "role", R("sim", 5).alias("sim"))
 
 
