@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from talentgrid.operators.tables import spread
 from talentgrid.plans.registry import query
 from talentgrid.plans.views import CV_SQL, cv_texts
 from talentgrid.session import new_path
-from talentgrid.sources import files, sinks
+from talentgrid.sources import arrays, audit, files, sinks
 from talentgrid.streaming import ingest as ST
 
 
@@ -26,6 +27,19 @@ def _(t):
         F.col("descriptionText").alias("description"), F.col("postedAt").alias("posted"))
 
 
+@query("src_1_dropped_rows", """SELECT o_orderpriority AS employment, count(*) AS kept, (SELECT count(*) FROM orders WHERE o_orderkey % 13 = 0) AS dropped
+  FROM orders WHERE o_orderkey % 13 <> 0 GROUP BY 1""")
+def _(t):
+    amount = F.when(F.col("o_orderkey") % 13 == 0, "not given").otherwise(F.col("o_totalprice").cast("string"))
+    rows = t.orders.select(amount.alias("applicantsCount"), F.lit("two\nlines").alias("descriptionText"), F.col("o_orderpriority").alias("employmentType"))
+    path, out, seen = new_path(t.spark, "postings"), new_path(t.spark, "postings-read"), Observation()
+    sinks.write_csv(rows, path)
+    schema = "applicantsCount double, descriptionText string, employmentType string"
+    sinks.write_parquet(files.postings_csv(t.spark, path, schema, seen), out)
+    return t.spark.read.parquet(out).groupBy(F.col("employmentType").alias("employment")).agg(
+        F.count("*").alias("kept")).withColumn("dropped", F.lit(seen.get["unparsed"]).cast("long"))
+
+
 @query("src_2_courses_csv", """SELECT s_name AS name, 'Ünï ' || n_name AS partner, 'sql|' || n_name || '|é' AS skills, 3 AS skill_count FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 <> 0""")
 def _(t):
     header = ["Name", "Patners 1", "Skills", "Url"]
@@ -80,6 +94,28 @@ def _(t):
         "doc_id", F.size("tokens").cast("long").alias("n"), "source")
 
 
+@query("qlt_1_rows_parse", """SELECT 'rows:train' AS "check", count(*) > 0 AS passed, count(*)::VARCHAR AS detail FROM documents UNION ALL SELECT 'rows_parse:train', true, '0'
+  UNION ALL SELECT 'rows:test', count(*) > 0, count(*)::VARCHAR FROM conversations UNION ALL SELECT 'rows_parse:test', count(*) = 0, count(*)::VARCHAR FROM conversations WHERE conv_id % 11 = 0""")
+def _(t):
+    train, test = new_path(t.spark, "train"), new_path(t.spark, "test")
+    sinks.write_jsonl(t.documents.select("doc_id", "text", "source"), train)
+    line = F.to_json(F.struct("conv_id", "text"))
+    # lines that lost their last character, as an interrupted copy leaves them
+    cut = F.when(F.col("conv_id") % 11 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    t.conversations.select(cut.alias("value")).write.text(test)
+    return audit.parse_gates("train", audit.read_audited(t.spark, train, "json", "doc_id long, text string, source string")).unionByName(
+        audit.parse_gates("test", audit.read_audited(t.spark, test, "json", "conv_id long, text string")))
+
+
+@query("src_8_vector_files", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, len(embedding) AS dim FROM embeddings WHERE embedding IS NOT NULL")
+def _(t):
+    path = new_path(t.spark, "vectors")
+    arrays.write_vectors(t.embeddings.where("embedding IS NOT NULL"), "vec_id", "embedding", path)
+    rows = arrays.read_vectors(t.spark, path, key="ids", rows=256)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(F.col("key").alias("vec_id"), F.round(total, 4).alias("total"), F.size("vector").cast("long").alias("dim"))
+
+
 @query("src_7_lookup_artifacts", "SELECT p_name AS key, avg(p_size) AS value FROM part GROUP BY 1")
 def _(t):
     rows = t.part.groupBy("p_name").agg(F.avg("p_size").alias("value"))

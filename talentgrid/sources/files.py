@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from talentgrid.functions.lists import parse_delimited, strip, wide_columns_to_list
 from talentgrid.functions.spans import map_annotation_label
 from talentgrid.functions.text import clean_document
 from talentgrid.operators.profile import sections
+from talentgrid.sources.audit import parsed, read_audited
 
 # fixed values: column names and types of the documented inputs
 POSTING_SCHEMA = (
@@ -28,11 +29,10 @@ COURSE_COLUMNS = {
 }
 
 
-def postings_csv(spark: SparkSession, path: str, schema: str = POSTING_SCHEMA) -> DataFrame:
-    """Quoted free text over several lines, backslash escapes, malformed rows skipped."""
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", "\\").option("mode", "DROPMALFORMED").csv(path))
+def postings_csv(spark: SparkSession, path: str, schema: str = POSTING_SCHEMA, seen: Observation | None = None) -> DataFrame:
+    """Quoted free text over several lines, backslash escapes, malformed rows skipped; ``seen`` counts ``rows`` and
+    ``unparsed`` records."""
+    return parsed(read_audited(spark, path, "csv", schema, header=True, multiLine=True, quote='"', escape="\\"), seen)
 
 
 def courses_csv(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
@@ -69,10 +69,10 @@ def dictionary_csv(spark: SparkSession, path: str, columns=("Example", "Commodit
     return raw.select(names.alias("skill")).where("skill IS NOT NULL AND skill <> ''").distinct()
 
 
-def annotated_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line; bad lines and blank texts are skipped. Long form of the spans:
-    doc_id (hash of the text), content, span_id, s, e (exclusive), label."""
-    docs = spark.read.schema(ANNOTATION_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+def annotated_documents(spark: SparkSession, path: str, seen: Observation | None = None) -> DataFrame:
+    """One JSON object per line; bad lines (counted by ``seen``) and blank texts are skipped. Long form of the
+    spans: doc_id (hash of the text), content, span_id, s, e (exclusive), label."""
+    docs = parsed(read_audited(spark, path, "json", ANNOTATION_SCHEMA), seen)
     good = docs.withColumn("content", strip("content")).where("content IS NOT NULL AND content <> ''")
     ided = good.withColumn("doc_id", F.md5("content"))
     anns = ided.select("doc_id", "content", F.posexplode_outer("annotation").alias("i", "a"))
