@@ -133,7 +133,9 @@ class _Reader(DataSourceReader):
             out.extend(_Rows(name, at, min(step, total - at), tuple(arrays)) for at in range(0, total, step))
         return out
 
-    def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Rows | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # files without rows are planned as one task with nothing to read
+            return
         store, _ = _store(self.path)
         files = [store.open_input_file(partition.path) for _ in partition.arrays]
         try:
