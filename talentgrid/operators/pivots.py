@@ -96,14 +96,15 @@ def threshold_links(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     """All right rows with cosine ≥ ``min_sim``; a left id without one keeps its single best (ties: the
     greater id) if that exceeds ``floor_sim``: (left_id, right_id, sim).
 
-    The second search is run for the left ids without a link alone. Null, zero and non-finite vectors have no link;
+    The second search is run for the left ids without a link alone. The left side is read twice and must give the same
+    vectors each time, as a table does; the right side is checkpointed with its cells. Null, zero and non-finite vectors have no link;
     repeated rows of either side have the links of each; null ids are an id. Both bounds are at least 0, the first
     is the greater.
     """
     if not 0 <= floor_sim <= min_sim <= 1 or min_sim == 0:
         raise ValueError("thresholds must satisfy 0 <= floor_sim <= min_sim <= 1 and min_sim > 0")
     lu, ru, cells, pivots = _parts(left, right, left_id, right_id, left_vec, right_vec)
-    links = cut_plan(_scored(_candidates(lu, cells, pivots, math.acos(min_sim))).where(F.col("s.sim") >= min_sim))
+    links = _scored(_candidates(lu, cells, pivots, math.acos(min_sim))).where(F.col("s.sim") >= min_sim)
     linked = links.select("id").distinct().withColumn("_linked", F.lit(True))
     alone = join_same(lu, linked, ["id"], "left").where("_linked IS NULL").drop("_linked")
     best = _scored(_candidates(alone, cells, pivots, math.acos(floor_sim))).where(F.col("s.sim") > floor_sim)
