@@ -5,11 +5,18 @@ Order comes from a seeded hash of the key, so results are the same on every run
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.functions.numeric import saturate
-from talentgrid.operators.tables import hash_ranked, seeded_hash, top_n
+from talentgrid.operators.tables import cut_plan, hash_ranked, seeded_hash, top_n, with_totals
+
+DRAW_ROWS = 256  #: profiles of a role that a group of a weighted sample holds
+DRAW_SKILLS = 1 << 15  #: skills of a role's pool that it holds
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -82,17 +89,69 @@ def role_pools(frequency: DataFrame) -> DataFrame:
     return frequency.groupBy("role").agg(pool.alias("pool"))
 
 
+def _draw(needs: pa.Table, pool: pa.Table, seed: int) -> pa.Table:
+    """For each need its ``n`` smallest keys -ln(u)/w of a piece of its role's pool (more where the last ones tie);
+    ``u`` is ``uniform(seed, profile_id, skill)``, taken from the bytes of the digests."""
+    places, sizes, keys = [], [], []
+    skills = pa.array([], pa.string())
+    if needs.num_rows and pool.num_rows:
+        entries = pa.concat_arrays([c.flatten() for c in pool.column("pool").chunks])
+        skills = entries.field("skill")
+        tails = ["|".join([*([] if s is None else [s]), str(seed)]).encode() for s in skills.to_pylist()]
+        weights = entries.field("w").to_numpy(zero_copy_only=False).astype(float)
+        for me, n, weighted in zip(*(needs.column(c).to_pylist() for c in ("me", "n", "weighted"))):
+            head = b"" if me is None else me.encode() + b"|"
+            digests = b"".join([md5(head + t, usedforsecurity=False).digest() for t in tails])
+            bits = np.frombuffer(digests, ">u8")[::2] >> np.uint64(12)
+            k = -np.log((bits.astype(float) + 0.5) / float(1 << 52)) / (weights if weighted else 1.0)
+            some = np.flatnonzero(k <= np.partition(k, n - 1)[n - 1]) if n < len(k) else np.arange(len(k))
+            places.append(some)
+            sizes.append(len(some))
+            keys.append(k[some])
+    met = needs.select(["profile_id", "role", "n", "weighted"]).slice(0, len(sizes))
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
+    flat = pa.StructArray.from_arrays([
+        pa.array(np.concatenate([np.zeros(0), *keys])),
+        skills.take(pa.array(np.concatenate([np.zeros(0, np.int64), *places])))], ["k", "skill"])
+    return met.append_column("drawn", pa.ListArray.from_arrays(ends, flat))
+
+
 def weighted_sample(profiles: DataFrame, pools: DataFrame, size: Column, seed: int = 42,
                     weighted: Column | None = None) -> DataFrame:
     """Skills drawn without replacement per profile, by role frequency (or uniformly where
-    ``weighted`` is false): smallest −ln(u)/w keys first. One row per profile, no candidate rows."""
-    rows = profiles.join(pools, "role")
-    use_w = F.lit(True) if weighted is None else weighted
-    keyed = F.transform("pool", lambda p: F.struct(
-        (-F.log(uniform(seed, F.col("profile_id"), p["skill"]))
-         / F.when(use_w, p["w"]).otherwise(F.lit(1.0))).alias("k"), p["skill"].alias("skill")))
-    drawn = F.slice(F.array_sort(keyed), F.lit(1), size.cast("int"))
-    return rows.withColumn("owned", F.array_sort(F.transform(drawn, lambda d: d["skill"]))).drop("pool")
+    ``weighted`` is false): smallest −ln(u)/w keys first. One row per profile, no candidate rows.
+
+    Every profile meets every skill of its role, as the draw is defined; groups of (profiles, pool piece) of
+    bounded size are dealt to tasks, and the smallest keys of the pieces are brought together."""
+    use_w = F.lit(True) if weighted is None else F.coalesce(weighted, F.lit(False))
+    keys = ["profile_id", "role", "n", "weighted"]
+    starts = F.sequence(F.lit(0), F.greatest(F.size("pool") - 1, F.lit(0)), F.lit(DRAW_SKILLS))
+    pieces = cut_plan(pools.select(F.col("role").alias("role"), F.size(starts).alias("pieces"), F.posexplode(
+        F.transform(starts, lambda i: F.slice("pool", i + 1, DRAW_SKILLS))).alias("piece", "pool")))
+    rows = profiles.join(pieces.where("piece = 0").select("role"), "role", "left_semi").select(
+        "role", *[c for c in profiles.columns if c != "role"], F.struct(size.cast("int").alias("n"), use_w.alias("weighted")).alias("_draw"))
+    # equal rows draw the same; rows without a size draw nothing
+    needs = rows.select("profile_id", "role", "_draw.*").where("n > 0").distinct()
+    needs = cut_plan(with_totals(needs, ["role"], F.ceil(F.count("*") / DRAW_ROWS).cast("int").alias("chunks")).select(
+        *keys, F.col("profile_id").cast("string").alias("me"),
+        F.pmod(F.xxhash64("profile_id", "n"), F.col("chunks")).cast("int").alias("chunk"), "chunks"))
+    left = needs.join(pieces.select("role", "pieces").distinct(), "role").select(
+        *keys, "me", "chunk", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    right = pieces.join(needs.select("role", "chunks").distinct(), "role").select(
+        "role", "piece", "pool", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    group = ["role", "chunk", "piece"]
+    kind = needs.schema["profile_id"].dataType.simpleString()
+    drawn = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
+        lambda a, b: _draw(a, b, seed),
+        f"profile_id {kind}, role string, n int, weighted boolean, drawn array<struct<k:double,skill:string>>")
+    drawn = drawn.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("drawn"))).alias("_drawn")).select(
+        F.struct("profile_id", "role").alias("_of"), F.struct("n", "weighted").alias("_by"), "_drawn")
+    same = F.col("profile_id").eqNullSafe(F.col("_of.profile_id")) & (F.col("role") == F.col("_of.role")) & (
+        F.col("_draw.n") == F.col("_by.n")) & (F.col("_draw.weighted") == F.col("_by.weighted"))
+    none = F.array().cast("array<struct<k:double,skill:string>>")
+    first = F.slice(F.coalesce("_drawn", none), F.lit(1), F.col("_draw.n"))
+    owned = F.array_sort(F.transform(first, lambda d: d["skill"])).alias("owned")
+    return rows.join(drawn, same, "left").select("role", *[c for c in profiles.columns if c != "role"], owned)
 
 
 def weighted_choice(df: DataFrame, key: str, choices: DataFrame, value: str, weight: str,

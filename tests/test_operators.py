@@ -1,6 +1,8 @@
 """Edge cases and brute-force comparisons on small hand-made rows."""
 
 import difflib
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -168,6 +170,26 @@ def test_mcnemar_bootstrap_and_draws(spark):
     assert abs(share - 0.9) < 0.03
 
 
+@pytest.mark.parametrize("rows,skills", [(256, 1 << 15), (2, 3)])
+def test_weighted_draws_in_pieces_are_the_smallest_keys(spark, monkeypatch, rows, skills):
+    monkeypatch.setattr(splits, "DRAW_ROWS", rows)
+    monkeypatch.setattr(splits, "DRAW_SKILLS", skills)
+    pool = {"r": [(f"s{i:02}é", (i + 1) / 20) for i in range(20)], "q": [("only", 0.5)]}
+    pools = spark.createDataFrame(list(pool.items()), "role string, pool array<struct<skill:string,w:double>>")
+    people = [(i, "qr"[i % 3 > 0], i % 5) for i in range(23)] + [(7, "r", 4), (None, "r", 3), (30, "r", None), (31, "no", 2), (32, None, 2)]
+
+    def draw(me, role, n):
+        u = lambda s: (int(hashlib.md5("|".join([*([] if me is None else [str(me)]), s, "42"]).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        keys = sorted((-math.log(u(s)) / (w if me is not None and me % 2 else 1.0), s) for s, w in pool[role])
+        return None if n is None else sorted(s for _, s in keys[:n])
+
+    want = [(*p, draw(*p)) for p in people if p[1] in pool]
+    df = spark.createDataFrame(people, "profile_id long, role string, size int")
+    got = splits.weighted_sample(df, pools, F.col("size"), weighted=F.col("profile_id") % 2 == 1)
+    assert got.columns == ["role", "profile_id", "size", "owned"]
+    assert sorted(((r.profile_id, r.role, r.size, r.owned) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_sources_skip_bad_rows(spark, tmp_path):
     p = tmp_path / "jobs.csv"
     p.write_text('applicantsCount,title\n3,"a ""q"" b\nc"\nnot-a-number,z\n4,ok\n')
