@@ -28,7 +28,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by five-word Jaccard similarity of at least 0.8."""
+    """One document of each group of texts linked by SimHash (operator 2) or by five-word Jaccard similarity of at
+    least 0.8."""
     return drop_near_copies(docs)
 
 

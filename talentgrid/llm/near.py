@@ -1,4 +1,7 @@
-"""Near copies of documents: MinHash bands of five-word shingles, exact Jaccard verification, components.
+"""Near copies of documents: SimHash groups (operator 2), MinHash bands of five-word shingles with exact Jaccard
+verification, components over both.
+
+0. The groups of ``simhash.near_groups`` are links between their different texts.
 
 1. A text gets ``BANDS`` keys of ``ROWS`` minima each over the 64-bit hashes of its shingles. A pair of
    similarity 0.8 shares a key with probability 1 - 3e-6; closer pairs nearly always.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from talentgrid.llm.components import components
 from talentgrid.llm.lines import _buckets
 from talentgrid.llm.shared import cut, marks, picked, settled, with_marks
-from talentgrid.llm.simhash import one_of_each, shingle_hashes
+from talentgrid.llm.simhash import near_groups, one_of_each, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -124,10 +127,18 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return pairs.sortWithinPartitions("key", "i", "j", "line").mapInArrow(_verified, "a long, b long").distinct()
 
 
+def simhash_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (``a``, ``b``) of the different texts of each SimHash group to the one with the smallest hash."""
+    members = cut(near_groups(docs, id_col, text_col).select("root", "h").distinct())
+    least = members.groupBy("root").agg(F.min("h").alias("least"))
+    return members.join(least, "root").where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``h`` (a hash of the text) and ``root`` (a hash that names the group) of every row."""
     rows = picked(docs, id_col, text_col).select("id", F.xxhash64("text").alias("h"))
-    roots = components(cut(near_links(docs, id_col, text_col))).withColumnRenamed("node", "h")
+    found = near_links(docs, id_col, text_col).unionByName(simhash_links(docs, id_col, text_col)).distinct()
+    roots = components(cut(found)).withColumnRenamed("node", "h")
     return rows.join(roots, "h", "left").select("id", "h", F.coalesce("root", "h").alias("root"))
 
 

@@ -60,6 +60,19 @@ def test_stage_on_documents(spark, small):
     assert got == kept(sorted((r.doc_id, r.text) for r in docs.collect()))
 
 
+def test_stage_follows_links_of_both_methods(spark, small):
+    # repeats weigh in a fingerprint and not in a set of shingles: 0 and 1 have one fingerprint, 21 of 56 shingles in common
+    block, rng = [f"b{i}" for i in range(21)], random.Random(3)
+    first = block * 40
+    second = first + [f"n{i}" for i in range(30)]
+    words = [f"w{i}" for i in range(300)]
+    rows = [" ".join(x) for x in (first, second, second[:-1] + ["n"], words, changed(rng, words, 3), words[:150])]
+    docs = list(enumerate(rows))
+    assert kept(docs) == [0, 1, 3, 5]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, small).collect()) == [0, 3, 5]
+
+
 def test_odd_rows(odd, none):
     got = near.drop_near_copies(odd, "id")
     assert got.columns == odd.columns
