@@ -4,21 +4,26 @@ Equal postings of a role are one pattern with a weight. A bucket of a role's pat
 skill (its posting list); the weights are rows too, one for each binary digit (slices). A profile's relevant patterns
 are the OR of the rows of its skills; the weighted number of those that hold another skill is the sum over the slices
 of 2^digit times the bits that relevant patterns, that skill's row and the slice share. No profile meets a pattern as
-a row: Spark deals (profiles of a role, patterns of the role) groups of bounded size to tasks and adds counts up.
+a row: a bucket of patterns is one packed row, and Spark deals each piece of a role's profiles, followed by the role's
+buckets, to a task that adds counts up bucket by bucket and passes the result on. Counts are never shuffled or kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.operators.tables import cut_plan, with_totals
+from talentgrid.operators.tables import cut_plan, parquet_cut, with_totals
 
 PATTERNS = 32768  #: patterns of one bucket: 4 KB a skill
 NEEDS = 1024  #: profile lists of one group
-_COUNTED = "need long, buckets int, relevant long, skills array<string>, counts array<long>"
+OWNERS = 1024  #: profiles that share one list in a group; more are several lists
+ROWS = 1 << 17  #: result rows of one record batch, about
+_PACKED = "role string, bucket int, names array<string>, codes binary, sizes binary, jobs binary"
 
 
 def packed(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -44,40 +49,102 @@ def _weighted(bits: np.ndarray, digits: list[tuple[int, np.ndarray]]) -> np.ndar
                np.zeros(bits.shape[:-1], np.int64))
 
 
-def _count(needs: pa.Table, patterns: pa.Table) -> pa.Table:
-    """For each list of owned skills: the weight of the patterns that share one, and of those among them that hold
-    each skill that is not owned."""
-    keys, buckets, relevant_n, sizes, names, counts = [], [], [], [], [], []
-    skills = np.zeros(0, str)
-    if needs.num_rows and patterns.num_rows:
-        lists = patterns.column("skills").combine_chunks()
-        skills, code = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-        bits = packed(code, at, (len(skills), len(lists)))
-        digits = slices(patterns.column("jobs").to_numpy())
-        place = {s: i for i, s in enumerate(skills.tolist())}
-        for need, owned, n in zip(*(needs.column(c).to_pylist() for c in ("need", "owned", "buckets"))):
-            rows = [place[s] for s in owned if s in place]
+def _pack(patterns: pa.Table) -> pa.Table:
+    """The patterns of one bucket as one row: skill names, and 32-bit places in them, list after list."""
+    lists = patterns.column("skills").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    return pa.Table.from_arrays([
+        patterns.column("role").slice(0, 1), patterns.column("bucket").slice(0, 1), pa.array([coded.dictionary], pa.list_(pa.string())),
+        *(pa.array([x.tobytes()], pa.binary()) for x in (
+            coded.indices.to_numpy().astype(np.int32), lists.value_lengths().to_numpy().astype(np.int32),
+            patterns.column("jobs").to_numpy().astype(np.int64)))],
+        ["role", "bucket", "names", "codes", "sizes", "jobs"])
+
+
+class _Chunk:
+    """Profile lists of one role, and their counts over the buckets met so far."""
+
+    def __init__(self):
+        self.needs: list[tuple[list[str], list]] = []  # owned skills, profiles
+        self.place: dict[str, int] = {}
+        self.relevant = np.zeros(0, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []  # (places, counts) of each list
+
+    def add(self, names: list[str], codes: bytes, sizes: bytes, jobs: bytes) -> None:
+        """For each list of owned skills: the weight of the patterns that share one, and of those among them that
+        hold each skill that is not owned."""
+        if not self.held:
+            self.relevant = np.zeros(len(self.needs), np.int64)
+            self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(self.needs)
+        size, weights = np.frombuffer(sizes, np.int32), np.frombuffer(jobs, np.int64)
+        bits = packed(np.frombuffer(codes, np.int32), np.repeat(np.arange(len(size)), size), (len(names), len(size)))
+        digits = slices(weights)
+        here = {s: i for i, s in enumerate(names)}
+        place = np.array([self.place.setdefault(s, len(self.place)) for s in names], np.int64)
+        for k, (owned, _) in enumerate(self.needs):
+            rows = [here[s] for s in owned if s in here]
             if not rows:
                 continue
             relevant = np.bitwise_or.reduce(bits[rows], axis=0)
             on = np.flatnonzero(relevant)  # words without a relevant pattern are left out
             part = [(value, s[on]) for value, s in digits]
-            held = _weighted(bits[:, on] & relevant[on], part)
-            held[rows] = 0
-            some = np.flatnonzero(held)
-            keys.append(need)
-            buckets.append(n)
-            relevant_n.append(int(_weighted(relevant[on], part)))
-            sizes.append(len(some))
-            names.append(some)
-            counts.append(held[some])
-    ends = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
-    flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (names, counts)]
-    return pa.Table.from_arrays([
-        pa.array(keys, pa.int64()), pa.array(buckets, pa.int32()), pa.array(relevant_n, pa.int64()),
-        pa.ListArray.from_arrays(ends, pa.array(skills.tolist(), pa.string()).take(pa.array(flat[0]))),
-        pa.ListArray.from_arrays(ends, pa.array(flat[1]))], ["need", "buckets", "relevant", "skills", "counts"])
+            count = _weighted(bits[:, on] & relevant[on], part)
+            count[rows] = 0
+            self.relevant[k] += _weighted(relevant[on], part)
+            some = np.flatnonzero(count)
+            at, n = self.held[k]
+            if len(at):
+                at, back = np.unique(np.concatenate([at, place[some]]), return_inverse=True)
+                total = np.zeros(len(at), np.int64)
+                np.add.at(total, back, np.concatenate([n, count[some]]))
+                self.held[k] = at, total
+            else:
+                self.held[k] = place[some], count[some]
+
+    def results(self, role: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        names = pa.array(list(self.place), pa.string())
+        ids, skills, shares, size = [], [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(ids), pa.repeat(pa.scalar(role, pa.string()), size), names.take(pa.array(np.concatenate(skills))),
+                 pa.array(np.concatenate(shares))], ["profile_id", "target_role", "skill", "cooccurrence"])
+
+        for (_, profiles), (at, n), relevant in zip(self.needs, self.held, self.relevant.tolist()):
+            if not len(at):
+                continue
+            each = max(1, ROWS // len(at))
+            for begin in range(0, len(profiles), each):
+                some = pa.array(profiles[begin:begin + each], kind)
+                ids.append(some.take(pa.array(np.repeat(np.arange(len(some)), len(at)))))
+                skills.append(np.tile(at, len(some)))
+                shares.append(np.tile(n / relevant, len(some)))
+                size += len(some) * len(at)
+                if size >= ROWS:
+                    yield batch()
+                    ids, skills, shares, size = [], [], [], 0
+        if size:
+            yield batch()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows stand by role and chunk: the lists of a chunk, then the buckets of its role."""
+    chunk, now, kind = _Chunk(), None, None
+    for b in batches:
+        kind = b.schema.field("profiles").type.value_type.field(0).type
+        for i in range(b.num_rows):
+            row = {c: b.column(c)[i] for c in b.schema.names}
+            group = row["role"].as_py(), row["chunk"].as_py()
+            if group != now:
+                if now is not None:
+                    yield from chunk.results(now[0], kind)
+                chunk, now = _Chunk(), group
+            if row["bucket"].as_py() < 0:
+                chunk.needs.append((row["owned"].as_py(), [p["profile_id"] for p in row["profiles"].as_py()]))
+            else:
+                chunk.add(*(row[c].as_py() for c in ("names", "codes", "sizes", "jobs")))
+    if now is not None:
+        yield from chunk.results(now[0], kind)
 
 
 def _dealt(rows: DataFrame, key: str, each: int, name: str) -> DataFrame:
@@ -92,28 +159,24 @@ def conditional_cooccurrence(owned: DataFrame, posting_skills: DataFrame) -> Dat
     Profiles with the same role and skills are counted once; repeated rows count once, rows without a role or skill
     meet nothing.
     """
-    keys = owned.groupBy("profile_id", F.col("target_role").alias("role")).agg(F.array_sort(F.collect_set("skill")).alias("owned"))
-    keys = cut_plan(keys.withColumn("need", F.xxhash64("role", "owned")))  # read for the groups and for the result
-    needs = _dealt(keys.select("need", "role", "owned").distinct(), "need", NEEDS, "chunk")
-    patterns = posting_skills.groupBy("job_id", "role").agg(F.array_sort(F.collect_set("skill")).alias("skills")).groupBy(
+    kind = owned.schema["profile_id"].dataType.simpleString()
+    keys = owned.where("target_role IS NOT NULL AND skill IS NOT NULL").groupBy("profile_id", F.col("target_role").alias("role")).agg(
+        F.array_sort(F.collect_set("skill")).alias("owned"))
+    keys = parquet_cut(keys.withColumn("need", F.xxhash64("role", "owned")), "profile-lists")
+    # lists of many profiles are dealt as several
+    parts = F.ceil(F.count("*") / OWNERS).cast("int")
+    many = keys.groupBy("need").agg(parts.alias("parts")).where("parts > 1")
+    shared = keys.join(many, "need", "left").withColumn("part", F.pmod(F.xxhash64("profile_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    needs = shared.groupBy("role", "need", "part").agg(
+        F.first("owned").alias("owned"), F.collect_list(F.struct("profile_id")).alias("profiles"))
+    needs = parquet_cut(_dealt(needs.withColumn("key", F.xxhash64("need", "part")), "key", NEEDS, "chunk"), "profile-chunks")
+    patterns = posting_skills.where("role IS NOT NULL").groupBy("job_id", "role").agg(F.array_sort(F.collect_set("skill")).alias("skills")).groupBy(
         "role", "skills").agg(F.count("*").alias("jobs")).withColumn("pattern", F.xxhash64("role", "skills"))
-    needs, patterns = cut_plan(needs), cut_plan(_dealt(cut_plan(patterns), "pattern", PATTERNS, "bucket"))
+    patterns = _dealt(parquet_cut(patterns, "patterns"), "pattern", PATTERNS, "bucket")
+    buckets = parquet_cut(patterns.groupBy("role", "bucket").applyInArrow(_pack, _PACKED), "pattern-buckets")
     # each piece of a role's profiles meets each bucket of its patterns
-    shape = needs.select("role", F.col("pieces").alias("chunks")).distinct().join(
-        patterns.select("role", F.col("pieces").alias("buckets")).distinct(), "role")
-    left = needs.join(shape, "role").select("role", "chunk", "need", "owned", "buckets", F.explode(
-        F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
-    right = patterns.join(shape, "role").select("role", "bucket", "skills", "jobs", F.explode(
-        F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    group = ["role", "chunk", "bucket"]
-    counted = cut_plan(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_count, _COUNTED))
-    # lists of a role of one bucket are complete; those of others add up, skill by skill
-    some = counted.where("buckets > 1")
-    held = some.select("need", F.explode(F.arrays_zip("skills", "counts")).alias("h")).groupBy("need", "h.skills").agg(
-        F.sum("h.counts").alias("n")).groupBy("need").agg(F.collect_list(F.struct("skills", "n")).alias("h"))
-    added = some.groupBy("need").agg(F.sum("relevant").alias("relevant")).join(held, "need").select(
-        "need", "relevant", F.col("h.skills").alias("skills"), F.col("h.n").alias("counts"))
-    lists = counted.where("buckets = 1").select("need", "relevant", "skills", "counts").unionByName(added)
-    return keys.select("profile_id", F.col("role").alias("target_role"), "need").join(lists, "need").select(
-        "profile_id", "target_role", "relevant", F.explode(F.arrays_zip("skills", "counts")).alias("h")).select(
-        "profile_id", "target_role", F.col("h.skills").alias("skill"), (F.col("h.counts") / F.col("relevant")).alias("cooccurrence"))
+    chunks = needs.groupBy("role").agg(F.first("pieces").alias("chunks"))
+    met = buckets.join(chunks, "role").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    rows = needs.select("role", "chunk", F.lit(-1).alias("bucket"), "owned", "profiles").unionByName(met, allowMissingColumns=True)
+    return rows.repartition("role", "chunk").sortWithinPartitions("role", "chunk", "bucket").mapInArrow(
+        _count, f"profile_id {kind}, target_role string, skill string, cooccurrence double")

@@ -1,10 +1,12 @@
 """Co-occurrence by bit rows against counting postings."""
 
 import random
+from pathlib import Path
 
 import pytest
 
 from talentgrid.operators import cooccurrence
+from talentgrid.session import shared_dir
 
 
 @pytest.mark.parametrize("patterns,needs", [(32768, 1024), (3, 2)])
@@ -29,3 +31,33 @@ def test_equals_counting(spark, monkeypatch, patterns, needs):
     assert {(r.profile_id, r.target_role, r.skill): r.cooccurrence for r in got} == want and len(got) == len(want)
     empty = spark.createDataFrame([], "profile_id long, target_role string, skill string")
     assert cooccurrence.conditional_cooccurrence(empty, spark.createDataFrame(posting, "job_id long, role string, skill string")).collect() == []
+
+
+def _bytes(folder):
+    return sum(f.stat().st_size for f in Path(folder.removeprefix("file:")).rglob("*") if f.is_file())
+
+
+def test_counts_are_not_kept(spark):
+    """What is written grows with the lists and postings, not with profiles times co-occurring skills."""
+    names = [f"a skill with a long name {i}" for i in range(600)]
+    profile = [(p, "a", s) for p in range(400) for s in (names[0], names[p % 200 + 1])]
+    posting = [(j, "a", s) for j in range(3) for s in names]
+    folder = shared_dir(spark)
+    before = _bytes(folder)
+    got = cooccurrence.conditional_cooccurrence(
+        spark.createDataFrame(profile, "profile_id long, target_role string, skill string"),
+        spark.createDataFrame(posting, "job_id long, role string, skill string"))
+    assert got.count() == 400 * 598 and got.where("cooccurrence <> 1").isEmpty()
+    assert _bytes(folder) - before < 400 * 598
+
+
+def test_list_of_many_profiles(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "OWNERS", 3, raising=False)
+    monkeypatch.setattr(cooccurrence, "ROWS", 7, raising=False)
+    profile = [(p, "a", s) for p in [*range(40), None] for s in ("x", "y")]
+    posting = [(1, "a", "x"), (1, "a", "z"), (2, "a", "y"), (3, "a", "z"), (4, "b", "x")]
+    got = cooccurrence.conditional_cooccurrence(
+        spark.createDataFrame(profile, "profile_id long, target_role string, skill string"),
+        spark.createDataFrame(posting, "job_id long, role string, skill string")).collect()
+    assert sorted(((r.profile_id, r.skill, r.cooccurrence) for r in got), key=str) == sorted(
+        ((p, "z", 0.5) for p in [*range(40), None]), key=str)
