@@ -173,7 +173,7 @@ def conditional_cooccurrence(owned: DataFrame, posting_skills: DataFrame) -> Dat
     patterns = posting_skills.where("role IS NOT NULL").groupBy("job_id", "role").agg(F.array_sort(F.collect_set("skill")).alias("skills")).groupBy(
         "role", "skills").agg(F.count("*").alias("jobs")).withColumn("pattern", F.xxhash64("role", "skills"))
     patterns = _dealt(parquet_cut(patterns, "patterns"), "pattern", PATTERNS, "bucket")
-    buckets = parquet_cut(patterns.groupBy("role", "bucket").applyInArrow(_pack, _PACKED), "pattern-buckets")
+    buckets = cut_plan(patterns.groupBy("role", "bucket").applyInArrow(_pack, _PACKED))
     # each piece of a role's profiles meets each bucket of its patterns
     chunks = needs.groupBy("role").agg(F.first("pieces").alias("chunks"))
     met = buckets.join(chunks, "role").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
