@@ -121,3 +121,14 @@ def test_few_courses_are_scored(spark, small):
     found = topk.search_courses(lists.dropDuplicates(["demand"]), topk.course_shards(courses, t.course_skills), V.affinity_table(t))
     scored = found.agg(F.sum("scored")).first()[0]
     assert 0 < scored < 0.1 * missing.select("profile_id").distinct().count() * courses.count()
+
+
+def test_skills_meet_courses_once_a_demand(spark):
+    """Profiles of one demand get what its first profile gets; a profile of two roles has a course once."""
+    recommended = spark.createDataFrame(
+        [(p, "a", "x", c, k) for p in (1, 2) for k, c in enumerate((10, 11), 1)] + [(3, "a", "y", 10, 1), (3, "b", "z", 10, 1),
+         (3, "b", "z", 12, 2), (4, "b", "w", 12, 1)], "profile_id long, role string, demand string, course_id long, rank int")
+    demand = spark.createDataFrame([(1, "s"), (1, "r"), (3, "t"), (3, "s"), (4, "q")], "profile_id long, skill string")
+    taught = spark.createDataFrame([(10, "s"), (10, "r"), (10, "t"), (11, "s"), (12, "t"), (12, "u")], "course_id long, skill string")
+    got = sorted(tuple(r) for r in gap.covered_skills(recommended, demand, taught).collect())
+    assert got == [(1, 10, ["r", "s"]), (1, 11, ["s"]), (2, 10, ["r", "s"]), (2, 11, ["s"]), (3, 10, ["s", "t"]), (3, 12, ["t"])]
