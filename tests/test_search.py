@@ -132,3 +132,18 @@ def test_skills_meet_courses_once_a_demand(spark):
     taught = spark.createDataFrame([(10, "s"), (10, "r"), (10, "t"), (11, "s"), (12, "t"), (12, "u")], "course_id long, skill string")
     got = sorted(tuple(r) for r in gap.covered_skills(recommended, demand, taught).collect())
     assert got == [(1, 10, ["r", "s"]), (1, 11, ["s"]), (2, 10, ["r", "s"]), (2, 11, ["s"]), (3, 10, ["s", "t"]), (3, 12, ["t"])]
+
+
+def test_missing_skills_look_at_the_head_of_a_role(spark):
+    """As many skills as are owned can fall out before the cut, so the rest of a role's list is left alone."""
+    names = [f"s{i:03}" for i in range(200)]
+    draw = random.Random(3)
+    owned = {0: [], 1: names[:30], 2: names, 3: draw.sample(names, 90), 4: names[1::2], 5: ["other"]}
+    profiles = spark.createDataFrame([(p, "a", o) for p, o in owned.items()], "profile_id long, target_role string, owned array<string>")
+    ranked = spark.createDataFrame([("a", names, [float(195 - i) for i in range(200)])],
+                                   "role string, role_skills array<string>, role_scores array<double>")
+    rows = gap.missing_skills(profiles, ranked)
+    for r in rows.collect():
+        left = [s for s in names if s not in owned[r.profile_id]][:20]
+        assert [m.skill for m in r.missing] == [s for s in left if names.index(s) < 195][:15]
+    assert "array_except(slice(role_skills" in rows._jdf.queryExecution().optimizedPlan().toString()
