@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.llm.encoding import encoder
-from talentgrid.llm.shared import picked, settled
+from talentgrid.llm.shared import picked, portions, settled
 
 SEQUENCE = 4096
 OPEN_WINDOWS = 64
@@ -73,7 +73,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end: bytes, size: i
     encode = encoder(tokenizer).encode_all
     windows, sequence = _Windows(size, most), TaskContext.get().partitionId() << 32
     rows: list[tuple] = []
-    for given in batches:
+    for given in portions(batches):
         for key, ids in zip(given.column("id").to_pylist(), encode(given.column("text").to_pylist()), strict=True):
             ids += end
             total = len(ids) // 4

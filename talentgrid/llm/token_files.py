@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talentgrid.llm.encoding import encoder
-from talentgrid.llm.shared import cut, picked
+from talentgrid.llm.shared import cut, picked, portions
 
 SCHEMA = "id long, shard int, start_in_shard long, n_tokens long, tokens array<int>"
 MOST_BROADCAST = 1_000_000  #: shards whose totals, 24 bytes each, are broadcast; more are joined by a shuffle
@@ -49,7 +49,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: bytes) -> Iterato
             list_column(ids),
         ], ["id", "shard", "start_in_shard", "n_tokens", "tokens"])
 
-    for given in batches:
+    for given in portions(batches):
         for key, ids in zip(given.column("id").to_pylist(), encode(given.column("text").to_pylist()), strict=True):
             ids += end
             rows.append((key, start, ids))

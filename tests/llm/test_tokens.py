@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 from talentgrid.llm.encoding import Encoder
 from talentgrid.llm.packing import pack
+from talentgrid.llm.shared import portions
 from talentgrid.llm.token_files import read_metadata, read_tokens, write_tokens
 from talentgrid.session import new_path
 
@@ -109,3 +111,12 @@ def test_added_tokens_in_texts_are_those_of_the_library(spark, name):
     for r in pack(docs, path, id_col="id").collect():
         ids = np.array(want[r.id] + [2], "<u4")
         assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start:r.start + r.length].tobytes()))
+
+
+def test_portions_are_bounded_and_whole():
+    texts = ["é" * 30, "", "x" * 200, "a", "b" * 99, "c", "", "d" * 101]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(8)), "text": texts})
+    parts = list(portions([batch, batch.slice(0, 0), batch.slice(2, 3)], 100))
+    assert [(i, t) for p in parts for i, t in zip(p["id"].to_pylist(), p["text"].to_pylist())] == [
+        *enumerate(texts), *list(enumerate(texts))[2:5]]
+    assert all(p.num_rows == 1 or sum(len(t.encode()) for t in p["text"].to_pylist()) <= 100 for p in parts)
