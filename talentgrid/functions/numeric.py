@@ -14,6 +14,15 @@ def saturate(x: Column, alpha: float = 2.0) -> Column:
     return 1.0 - F.exp(x * F.lit(-alpha))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """As Spark's ``round`` of doubles, which forms a decimal number for every value; here only where a value is close to
+    the middle of two results, large, or not a number."""
+    y = x * F.lit(10.0 ** digits) + 0.5
+    z = F.floor(y)
+    plain = (F.abs(y) < 1e9) & (y - z).between(1e-4, 1 - 1e-4)
+    return F.when(plain, z / F.lit(10.0 ** digits)).otherwise(F.round(x, digits))
+
+
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
 

@@ -3,7 +3,8 @@
 Equal postings of a role are one pattern with a weight. A bucket of a role's patterns is a matrix of bits, one row a
 skill (its posting list); the weights are rows too, one for each binary digit (slices). A profile's relevant patterns
 are the OR of the rows of its skills; the weighted number of those that hold another skill is the sum over the slices
-of 2^digit times the bits that relevant patterns, that skill's row and the slice share. No profile meets a pattern as
+of 2^digit times the bits that relevant patterns, that skill's row and the slice share. Where a pattern has few of the
+skills, most words of bits are empty, so the posting lists are read as lists of places instead. No profile meets a pattern as
 a row: a bucket of patterns is one packed row, and Spark deals each piece of a role's profiles, followed by the role's
 buckets, to a task that adds counts up bucket by bucket and passes the result on. Counts are never shuffled or kept.
 """
@@ -11,6 +12,7 @@ buckets, to a task that adds counts up bucket by bucket and passes the result on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from talentgrid.operators.tables import cut_plan, parquet_cut, with_totals
 
 PATTERNS = 32768  #: patterns of one bucket: 4 KB a skill
-NEEDS = 1024  #: profile lists of one group
+NEEDS = 2048  #: profile lists of one group
+BITS = 4  #: words of bits that are counted in the time of one entry of a list
 OWNERS = 1024  #: profiles that share one list in a group; more are several lists
 ROWS = 1 << 17  #: result rows of one record batch, about
 _PACKED = "role string, bucket int, names array<string>, codes binary, sizes binary, jobs binary"
@@ -61,6 +64,61 @@ def _pack(patterns: pa.Table) -> pa.Table:
         ["role", "bucket", "names", "codes", "sizes", "jobs"])
 
 
+class _Bucket:
+    """Patterns of one bucket: their skills as posting lists and, where these would be longer, as rows of bits."""
+
+    def __init__(self, names: list[str], codes: bytes, sizes: bytes, jobs: bytes):
+        self.codes, self.sizes, self.weights = np.frombuffer(codes, np.int32), np.frombuffer(sizes, np.int32), np.frombuffer(jobs, np.int64)
+        self.n, self.here = len(names), {s: i for i, s in enumerate(names)}
+        self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.posted = self.owner[np.argsort(self.codes, kind="stable")]
+        self.lists = np.append(0, np.cumsum(np.bincount(self.codes, minlength=self.n)))
+        self.each = len(self.codes) / max(len(self.sizes), 1)
+        self.ones = bool((self.weights == 1).all())
+        self.on = np.zeros(len(self.sizes), bool)
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        return packed(self.codes, self.owner, (self.n, len(self.sizes)))
+
+    @cached_property
+    def digits(self) -> list[tuple[int, np.ndarray]]:
+        return slices(self.weights)
+
+    def counts(self, rows: list[int]) -> tuple[int, np.ndarray]:
+        """Weight of the patterns that hold one of the skills, and of those among them that hold each skill."""
+        least = sum(self.lists[r + 1] - self.lists[r] for r in rows) * self.each  # entries read by lists, about
+        digits = int(self.weights.max(initial=0)).bit_length()
+        return self._by_lists(rows) if least * BITS <= self.n * len(self.sizes) / 64 * digits else self._by_bits(rows)
+
+    def _by_lists(self, rows: list[int]) -> tuple[int, np.ndarray]:
+        for r in rows:
+            self.on[self.posted[self.lists[r]:self.lists[r + 1]]] = True
+        held = np.flatnonzero(self.on)
+        self.on[held] = False
+        size = self.sizes[held]
+        at = np.arange(int(size.sum())) + np.repeat(self.begins[held] - (np.cumsum(size) - size), size)
+        codes = self.codes[at]
+        if self.ones:
+            return len(held), np.bincount(codes, minlength=self.n)
+        return int(self.weights[held].sum()), self._summed(codes, np.repeat(self.weights[held], size))
+
+    def _summed(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums of whole numbers; in doubles where these hold them."""
+        if float(weights.sum(dtype=np.float64)) < 1 << 52:
+            return np.bincount(codes, weights, self.n).astype(np.int64)
+        total = np.zeros(self.n, np.int64)
+        np.add.at(total, codes, weights)
+        return total
+
+    def _by_bits(self, rows: list[int]) -> tuple[int, np.ndarray]:
+        relevant = np.bitwise_or.reduce(self.bits[rows], axis=0)
+        on = np.flatnonzero(relevant)  # words without a relevant pattern are left out
+        part = [(value, s[on]) for value, s in self.digits]
+        return int(_weighted(relevant[on], part)), _weighted(self.bits[:, on] & relevant[on], part)
+
+
 class _Chunk:
     """Profile lists of one role, and their counts over the buckets met so far."""
 
@@ -76,30 +134,22 @@ class _Chunk:
         if not self.held:
             self.relevant = np.zeros(len(self.needs), np.int64)
             self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(self.needs)
-        size, weights = np.frombuffer(sizes, np.int32), np.frombuffer(jobs, np.int64)
-        bits = packed(np.frombuffer(codes, np.int32), np.repeat(np.arange(len(size)), size), (len(names), len(size)))
-        digits = slices(weights)
-        here = {s: i for i, s in enumerate(names)}
+        bucket = _Bucket(names, codes, sizes, jobs)
         place = np.array([self.place.setdefault(s, len(self.place)) for s in names], np.int64)
+        total = np.zeros(len(self.place), np.int64)
         for k, (owned, _) in enumerate(self.needs):
-            rows = [here[s] for s in owned if s in here]
+            rows = [bucket.here[s] for s in owned if s in bucket.here]
             if not rows:
                 continue
-            relevant = np.bitwise_or.reduce(bits[rows], axis=0)
-            on = np.flatnonzero(relevant)  # words without a relevant pattern are left out
-            part = [(value, s[on]) for value, s in digits]
-            count = _weighted(bits[:, on] & relevant[on], part)
+            relevant, count = bucket.counts(rows)
             count[rows] = 0
-            self.relevant[k] += _weighted(relevant[on], part)
-            some = np.flatnonzero(count)
+            self.relevant[k] += relevant
             at, n = self.held[k]
-            if len(at):
-                at, back = np.unique(np.concatenate([at, place[some]]), return_inverse=True)
-                total = np.zeros(len(at), np.int64)
-                np.add.at(total, back, np.concatenate([n, count[some]]))
-                self.held[k] = at, total
-            else:
-                self.held[k] = place[some], count[some]
+            total[at] = n
+            total[place] += count
+            at = np.flatnonzero(total)
+            self.held[k] = at, total[at]
+            total[at] = 0
 
     def results(self, role: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         names = pa.array(list(self.place), pa.string())

@@ -396,7 +396,7 @@ def _(t):
   SELECT g.profile_id, g.target_role, g.skill, round(k / n, 6) AS cooccurrence FROM g JOIN tot USING (profile_id)
   WHERE NOT EXISTS (SELECT 1 FROM prof x WHERE x.profile_id = g.profile_id AND x.skill = g.skill)""")
 def _(t):
-    return CO.conditional_cooccurrence(t.profile_skills, t.posting_skills).withColumn("cooccurrence", R("cooccurrence"))
+    return CO.conditional_cooccurrence(t.profile_skills, t.posting_skills).withColumn("cooccurrence", numeric.rounded(F.col("cooccurrence")))
 
 
 @query("agg_25_four_signal_priority", P_SQL + """, hit AS (SELECT DISTINCT x.profile_id, x.target_role, y.job_id FROM prof x JOIN p y ON y.role = x.target_role AND y.skill = x.skill),
