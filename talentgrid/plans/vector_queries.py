@@ -414,4 +414,4 @@ def _(t):
     return G.four_signal_priority(
         CO.conditional_cooccurrence(t.profile_skills, t.posting_skills), M.raw_frequency(t.postings, t.posting_skills),
         M.versatility(counts, t.postings), M.skill_trend(t.postings, t.posting_skills),
-    ).withColumn("priority", R("priority"))
+    ).withColumn("priority", numeric.rounded(F.col("priority")))
