@@ -95,13 +95,28 @@ class Tables:
     @cached_property
     def profile_skills(self) -> DataFrame:
         """Distinct (profile, target role, skill): a customer's skills, the nation as target."""
-        links = self.orders.join(self.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(
+        return self._skills_of(self.orders)
+
+    def profile_skills_of(self, profiles: DataFrame) -> DataFrame:
+        """``profile_skills`` of the profiles in ``profiles`` (profile_id) alone, chosen before line items meet parts."""
+        keys = profiles.select(F.col("profile_id").alias("o_custkey")).distinct()
+        return self._skills_of(self.orders.join(keys, "o_custkey", "left_semi"))
+
+    def _skills_of(self, orders: DataFrame) -> DataFrame:
+        links = orders.join(self.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(
             self.part, F.col("l_partkey") == F.col("p_partkey")
         ).select("o_custkey", F.concat_ws(" ", "p_brand", "p_name").alias("skill")).distinct()
         return links.join(self.roles, F.col("o_custkey") == F.col("c_custkey")).select(
             F.col("c_custkey").alias("profile_id"), F.col("role").alias("target_role"), "skill"
         )
 
+    @cached_property
+    def posting_vocabulary(self) -> DataFrame:
+        """The different skills of ``posting_skills``, without forming the different skills of every posting."""
+        named = self.lineitem.join(self.postings.select(F.col("job_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+        return named.join(self.part, F.col("l_partkey") == F.col("p_partkey")).select(
+            F.concat_ws(" ", "p_brand", "p_name").alias("skill")).distinct()
+
 
 # SQL forms of the same views
 P_SQL = """WITH jr AS (
